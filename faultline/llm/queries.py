@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, tokenizer_path
 from .exact_dedup import exact_duplicates
 from .language_id import language_id
+from .ngram_lm import score_held_out
 from .packing import pack_documents
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
@@ -30,6 +31,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_quality_rules, op5_language_id, op6_suffix_dedup, op7_token_counts, op8_exact_dedup, op9_quality_classifier, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_quality_rules, op4_lm_scoring, op5_language_id, op6_suffix_dedup, op7_token_counts, op8_exact_dedup, op9_quality_classifier, op10_sentencepiece)}
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
