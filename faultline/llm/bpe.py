@@ -12,10 +12,11 @@ of all prefixes come out of one pass, with no prefix encoded anew.
 
 from __future__ import annotations
 
-import base64
+import array
 import bisect
 import json
 import re
+import sys
 from functools import lru_cache
 
 import regex
@@ -25,6 +26,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Two adjacent blanks, or a character outside the ranges on which all Unicode
 #: versions agree: such texts leave the split-at-spaces path.
 _BLANKS = re.compile(r"\s\s")
+_LONG_RUN = re.compile(r"\s{2000}|\S{20000}")
 _RARE = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
 CACHE_ENTRIES = 250_000
 
@@ -208,14 +210,17 @@ class PrefixIndex:
 
 
 class IdEncoder:
-    """Ids as little-endian unsigned 32-bit integers in one bytes object, as the library gives them."""
+    """Ids as little-endian unsigned 32-bit integers in one bytes object, as the library gives them.
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    Plain texts take a byte-pair encoder built from the same vocabulary; texts with
+    special strings, rare characters or very long runs go to the library itself.
+    """
+
+    def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         vocab = ByteVocabulary(path)
-        # rank order of this vocabulary is merge order; ids may differ from ranks, so they are mapped
         order = [bytes([b]) for b in sorted(range(256), key=lambda b: vocab.ids[bytes([b])])] + [vocab.bytes_of[i] for _, i in sorted(vocab.ranks.values())]
         ranks = {b: k for k, b in enumerate(dict.fromkeys(order))}
         if any(vocab.ids[b] != k for b, k in ranks.items()):
@@ -223,27 +228,18 @@ class IdEncoder:
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.library = Tokenizer.from_file(path)
         self.specials = tuple(vocab.specials)
-        self.limit = cache_entries
-        self.cache: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
-        import numpy as np
-
         if not text:
             return b""
-        if any(s in text for s in self.specials) or _BLANKS.search(text) or not text.isascii() and _RARE.search(text):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        get, miss = self.cache.get, self._miss
-        out = [np.asarray(self.fast.encode_ordinary(first), dtype="<u4").tobytes()]
-        out += [get(part) or miss(part) for part in rest]
-        return b"".join(out)
-
-    def _miss(self, part: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.fast.encode_ordinary(" " + part))
-        if len(self.cache) < self.limit:
-            self.cache[part] = ids
-        return ids
+        if any(s in text for s in self.specials) or _LONG_RUN.search(text) or not text.isascii() and _RARE.search(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        ids = array.array("I", ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 @lru_cache(maxsize=2)

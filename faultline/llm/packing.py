@@ -62,17 +62,28 @@ class Bins:
                 free |= 1 << left
 
     def improve(self, sweeps: int = 64) -> int:
-        """Local search among underfull bins; returns how many bins it emptied."""
+        """Local search among underfull bins; returns how many bins it emptied.
+
+        Each sweep works on the emptiest bins in turn.  It ends when no exchange is
+        left, or when the free space of all other bins is less than the emptiest
+        bin holds: then no sequence of exchanges can empty another.
+        """
         emptied = 0
         for _ in range(sweeps):
             order = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: (self.fill[b], b))
+            room = sum(self.capacity - self.fill[b] for b in order)
             changed = False
             for place, source in enumerate(order):
+                if room - (self.capacity - self.fill[source]) < self.fill[source]:
+                    break
                 # only bins at least as full: then each step raises the sum of squares
-                while self.items[source] and any(self._step(source, target) for target in reversed(order[place + 1 :]) if self.fill[target] >= self.fill[source]):
-                    changed = True
-                if not self.items[source]:
-                    emptied += 1
+                for target in reversed(order[place + 1 :]):
+                    while self.fill[target] >= self.fill[source] > 0 and self._step(source, target):
+                        changed = True
+                    if not self.items[source]:
+                        emptied += 1
+                        room -= self.capacity
+                        break
             if not changed:
                 break
         return emptied
@@ -121,21 +132,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
     pieces = pieces.drop("sequence_id", "offset")
     columns = pieces.columns
     out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, __open boolean"
-    done, level, rest = None, 0, pieces
+    done, level, rest, final = None, 0, pieces, False
     count = rest.count()
     while True:
         groups = max(1, -(-count // group_items))
         grouped = rest.withColumn("__group", F.pmod(F.xxhash64(F.lit(level), *columns), F.lit(groups)))
-        packed = materialize(grouped.groupBy("__group").applyInPandas(_group_packer(columns, capacity, level, groups == 1), out_type), "packing")
+        packed = materialize(grouped.groupBy("__group").applyInPandas(_group_packer(columns, capacity, level, final or groups == 1), out_type), "packing")
         closed = packed.filter(~F.col("__open")).drop("__open")
         done = closed if done is None else done.unionByName(closed)
         rest = packed.filter("__open").select(*columns)
-        left = rest.count() if groups > 1 else 0
+        left = 0 if final or groups == 1 else rest.count()
         if not left:
             return done
         level += 1
-        # rounds must shrink: if hardly anything closed, larger groups see more partners
-        group_items = group_items if left <= 0.7 * count else group_items * 4
+        # when a round closes little, what is left does not fit together: the next round closes all
+        final = left > 0.5 * count
         count = left
 
 
