@@ -97,9 +97,8 @@ class LabelModel:
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, rounds: int = 100):
         votes, weight = votes_of(codes), counts.astype(float)
-        # start: labellers are right more often than not
-        lean = ((votes == GOOD) * 1.0 - (votes == BAD) * 2.0).sum(1)
-        good = sigmoid(lean)
+        # start: each labeller sees few kinds of bad text, so one vote for bad outweighs the rest
+        good = np.where((votes == BAD).any(axis=1), 0.1, 0.95)
         for _ in range(rounds):
             self.prior = float(np.clip((weight * good).sum() / max(weight.sum(), 1e-9), 0.02, 0.98))
             share = np.stack([weight * good, weight * (1 - good)])
@@ -225,7 +224,7 @@ def classify_quality(docs: DataFrame) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFrame:
     """The rows of ``docs`` that the scorer keeps, all their columns; rated in place, with no join."""
-    scorer, schema, place = train(docs), arrow_schema_of(docs), docs.columns.index("text")
+    scorer, place = train(docs), docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
@@ -234,12 +233,6 @@ def drop_low_quality(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFra
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 keep = [scorer.score((t or "").encode())[0] >= keep_score for t in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep)).columns, schema=schema)
+                yield part.filter(pa.array(keep, "bool"))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def arrow_schema_of(df: DataFrame):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema, timezone="UTC")
