@@ -5,6 +5,7 @@ document with a smaller doc_id.
 
 1. Texts are written once, bucketed by a hash of the doc_id into small groups;
    later passes read the groups in place, so text crosses the network once.
+   Texts that equal one of a smaller doc_id go whole and take no further part.
 2. Initial q-gram buckets: of every window of ``length`` bytes the q-gram with the
    least hash is its anchor, so equal windows have equal anchors, and about one
    position in sixteen is one.  A group sends each anchor gram once, however often
@@ -20,7 +21,7 @@ document with a smaller doc_id.
    bucket decides.
 5. Runs go back to the groups and are cut from the texts.
 
-Bytes are compared, never only hashes.  Defined results: a null text is empty; a
+Bytes are compared, never only hashes (whole texts by SHA-256).  Defined results: a null text is empty; a
 null doc_id counts as larger than any other; rows with the same doc_id do not
 remove from each other; texts shorter than ``length`` stay; an empty table gives
 an empty table; ``remove_repeats`` returns all columns, with text bytes that no
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -41,8 +43,9 @@ LENGTH = 50
 GRAM = 20
 #: Texts of one group, in bytes; a longer text is a group of its own at most.
 GROUP_BYTES = 1 << 20
-#: Documents that make a gram's bucket one that is split by windows.
-HOT_DOCS = 1000
+#: Documents that make a gram's bucket one that is split by windows: below it a bucket's
+#: surroundings take about 10 MB at most.
+HOT_DOCS = 100_000
 LAST_ID = (1 << 63) - 1
 BLOCK = 1 << 21
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -106,9 +109,10 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, q: int = G
     return place, gram[first].view(np.int64)
 
 
-def _joined(table) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray, bytes]:
-    """Ids and texts in order of id, the joined bytes and each text's end."""
-    rows = sorted(zip(table["id"].to_pylist(), table["body"].to_pylist()), key=lambda r: r[0])
+def _joined(table, copies) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray, bytes]:
+    """Ids and texts in order of id, without copies, the joined bytes and each text's end."""
+    gone = set(zip(copies["id"].to_pylist(), copies["tag"].to_pylist()))
+    rows = sorted((r for r in zip(table["id"].to_pylist(), table["body"].to_pylist()) if (r[0], zlib.crc32(r[1])) not in gone), key=lambda r: r[0])
     ids, texts = [r[0] for r in rows], [r[1] for r in rows]
     whole = b"".join(texts)
     return ids, texts, np.frombuffer(whole, dtype=np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64), whole
@@ -208,14 +212,22 @@ def _groups(docs: DataFrame, columns: list[str], group_bytes: int) -> tuple[Data
     return spark.table(name), count
 
 
-def _shared_grams(texts: DataFrame) -> DataFrame:
+def _copies(texts: DataFrame) -> DataFrame:
+    """group, id, tag, n: texts that equal one of a smaller id.  ``tag`` tells rows of one id apart."""
+    keys = texts.select("group", "id", F.crc32("body").alias("tag"), F.octet_length("body").cast("long").alias("n"), F.sha2("body", 256).alias("sha")).filter(F.col("n") >= LENGTH)
+    keys = materialize(keys, "text-keys")
+    firsts = keys.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    return keys.join(firsts, "sha").filter("id > first").select("group", "id", "tag", "n")
+
+
+def _shared_grams(texts: DataFrame, copies: DataFrame) -> DataFrame:
     """group, gram, hot: anchor grams of a group that two or more documents have."""
     import pyarrow as pa
 
     sent, back = arrow_schema("group int, gram long, docs int"), arrow_schema("group int, gram long, hot boolean")
 
-    def grams_of(key, table):
-        ids, _, x, ends, _ = _joined(table)
+    def grams_of(key, table, gone):
+        ids, _, x, ends, _ = _joined(table, gone)
         place, gram = anchors(x, ends)
         doc = np.searchsorted(ends, place, side="right")
         # rows of one id are one document here
@@ -246,21 +258,28 @@ def _shared_grams(texts: DataFrame) -> DataFrame:
             some = keep[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(group[some]), pa.array(gram[some]), pa.array(hot[k : k + 100_000])], schema=back)
 
-    sums = texts.select("group", "id", "body").groupBy("group").applyInArrow(grams_of, "group int, gram long, docs int")
+    sums = texts.select("group", "id", "body").groupBy("group").cogroup(copies.groupBy("group")).applyInArrow(grams_of, "group int, gram long, docs int")
     return sums.repartition(partitions(texts.sparkSession), "gram").mapInArrow(owners, "group int, gram long, hot boolean")
 
 
-def _surroundings(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """key, id, start, left, body: bytes around shared anchors; body is null for a run settled in its group (of ``left`` bytes)."""
+def _surroundings(texts: DataFrame, copies: DataFrame, shared: DataFrame) -> DataFrame:
+    """key, id, tag, start, left, body: bytes around shared anchors; body is null for a run settled in its group (of ``left`` bytes)."""
     import pyarrow as pa
 
-    ddl = "key long, id long, start long, left int, body binary"
+    ddl = "key long, id long, tag long, start long, left int, body binary"
     schema = arrow_schema(ddl)
+    # grams and copies of a group come as one side: a copy has an id and no gram
+    known = shared.select("group", "gram", "hot", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("tag"))
+    known = known.unionByName(copies.select("group", F.lit(None).cast("long").alias("gram"), F.lit(False).alias("hot"), "id", "tag"))
 
-    def run(key, table, grams):
+    def run(key, table, side):
+        import pyarrow.compute as pc
         import xxhash
 
-        ids, texts_, x, ends, whole = _joined(table)
+        is_gram = pc.is_valid(side["gram"])
+        grams = side.filter(is_gram)
+        ids, texts_, x, ends, whole = _joined(table, side.filter(pc.invert(is_gram)))
+        tags = [zlib.crc32(t) for t in texts_]
         known, order = np.unique(grams["gram"].to_numpy(), return_index=True)
         hot_of = grams["hot"].to_numpy(zero_copy_only=False)[order] if len(order) else np.zeros(0, bool)
         place, gram = anchors(x, ends) if len(known) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -275,7 +294,7 @@ def _surroundings(texts: DataFrame, shared: DataFrame) -> DataFrame:
         def send(k: int, d: int, base: int, start: int, left: int, body: bytes) -> None:
             first = seen.setdefault((left, body), ids[d])
             if first == ids[d]:
-                out.append((k, ids[d], start - base, left, body))
+                out.append((k, ids[d], tags[d], start - base, left, body))
             else:  # a smaller document of this group has the same bytes
                 settled.setdefault(d, []).append((start - base, start - base + len(body)))
 
@@ -289,33 +308,33 @@ def _surroundings(texts: DataFrame, shared: DataFrame) -> DataFrame:
                 window = whole[s : s + LENGTH]
                 send(xxhash.xxh64_intdigest(window) - (1 << 63), d, base, s, -1, window)
         for d, spans in settled.items():
-            out += [(hash((ids[d], a)), ids[d], a, b - a, None) for a, b in _merged(spans)]
+            out += [(hash((ids[d], a)), ids[d], tags[d], a, b - a, None) for a, b in _merged(spans)]
         columns = list(zip(*out)) or [[] for _ in schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return texts.select("group", "id", "body").groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(run, ddl)
+    return texts.select("group", "id", "body").groupBy("group").cogroup(known.groupBy("group")).applyInArrow(run, ddl)
 
 
 def _runs(around: DataFrame) -> DataFrame:
-    """id, start, stop: removed runs; may overlap."""
+    """id, tag, start, stop: removed runs; may overlap."""
     import pyarrow as pa
 
-    ddl = "id long, start long, stop long"
+    ddl = "id long, tag long, start long, stop long"
     schema = arrow_schema(ddl)
 
     def owners(batches):
-        keys, docs, starts, lefts, bodies = [], [], [], [], []
-        spans: dict[int, list] = {}
+        keys, docs, tags, starts, lefts, bodies = [], [], [], [], [], []
+        spans: dict[tuple, list] = {}
         for batch in batches:
-            for k, d, s, left, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, d, t, s, left, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if body is None:
-                    spans.setdefault(d, []).append((s, s + left))
+                    spans.setdefault((d, t), []).append((s, s + left))
                 else:
-                    keys.append(k), docs.append(d), starts.append(s), lefts.append(left), bodies.append(body)
-        for d, s, found in zip(docs, starts, resolve(keys, docs, lefts, bodies)):
+                    keys.append(k), docs.append(d), tags.append(t), starts.append(s), lefts.append(left), bodies.append(body)
+        for d, t, s, found in zip(docs, tags, starts, resolve(keys, docs, lefts, bodies)):
             if found:
-                spans.setdefault(d, []).extend((s + a, s + b) for a, b in found)
-        out = [(d, a, b) for d, found in spans.items() for a, b in _merged(found)]
+                spans.setdefault((d, t), []).extend((s + a, s + b) for a, b in found)
+        out = [(*d, a, b) for d, found in spans.items() for a, b in _merged(found)]
         for k in range(0, len(out), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, "int64") for c in zip(*out[k : k + 50_000])], schema=schema)
 
@@ -327,18 +346,20 @@ def _cut(docs: DataFrame, columns: list[str], ddl: str, make) -> DataFrame:
     import pyarrow as pa
 
     texts, count = _groups(docs, columns, GROUP_BYTES)
-    shared = materialize(_shared_grams(texts), "shared-grams")
-    runs = materialize(_runs(_surroundings(texts, shared)), "runs")
+    copies = materialize(_copies(texts), "text-copies")
+    shared = materialize(_shared_grams(texts, copies), "shared-grams")
+    runs = _runs(_surroundings(texts, copies, shared))
+    runs = materialize(runs.unionByName(copies.select("id", "tag", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))), "runs")
     runs = runs.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
     schema = arrow_schema(ddl)
 
     def apply(key, table, found):
-        spans: dict[int, list] = {}
-        for d, a, b in zip(found["id"].to_pylist(), found["start"].to_pylist(), found["stop"].to_pylist()):
-            spans.setdefault(d, []).append((a, b))
+        spans: dict[tuple, list] = {}
+        for d, t, a, b in zip(*(found[c].to_pylist() for c in ("id", "tag", "start", "stop"))):
+            spans.setdefault((d, t), []).append((a, b))
         rows = []
         for d, body in zip(table["id"].to_pylist(), table["body"].to_pylist()):
-            own = _merged([(a, min(b, len(body))) for a, b in spans.get(d, ()) if a < len(body)])
+            own = _merged(spans.get((d, zlib.crc32(body)), []))
             edges = [0, *(e for s in own for e in s), len(body)]
             rows.append(make(body, own, b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))))
         made = list(zip(*rows)) or [[] for _ in range(len(schema) - len(columns))]
