@@ -17,7 +17,7 @@ within the context, in sorted blocks of distinct n-grams.
 The model interpolates: P(w | context) = (c - D) / c(context) + backoff(context) *
 P(w | shorter context), down to discounted words with one class for unknown
 words, so probabilities over the vocabulary and that class sum to one.  Orders
-above one cover words seen ``CONTEXT_MIN`` times or more and n-grams seen
+above one cover words that make up ``CONTEXT_SHARE`` of all tokens and n-grams seen
 ``NGRAM_MIN`` times or more; what is pruned goes to the back-off weight.  Words
 are known by a 64-bit hash.
 
@@ -40,7 +40,9 @@ from .common import arrow_schema, fold_of, local_temp, materialize, partitions,
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 2
-CONTEXT_MIN = 64
+#: Higher orders cover words with at least this share of all tokens (and two occurrences):
+#: a share, so that the model's make-up is the same at every size of corpus.
+CONTEXT_SHARE = 5e-7
 NGRAM_MIN = 2
 DISCOUNT = 0.75
 #: Tokens of one block of texts that is looked up at once.
@@ -276,6 +278,7 @@ class Trie:
 
     def __init__(self, levels: list[Level], tokens: int, words: int, discount: float):
         self.levels, self.tokens, self.words, self.discount = levels, tokens, words, discount
+        self.context_min = max(2, int(np.ceil(tokens * CONTEXT_SHARE)))
 
     def log10_unknown(self) -> float:
         return float(np.log10(max(self.discount * self.words, 1) / max(self.tokens, 1))) if self.words else 0.0
@@ -301,7 +304,7 @@ class Trie:
         known = word >= 0
         if self.words:
             prob[known] = np.log10(np.maximum(count[known] - self.discount, 1e-9) / self.tokens)
-        node = np.where(known & (count >= CONTEXT_MIN), word, -1)
+        node = np.where(known & (count >= self.context_min), word, -1)
         usable = node >= 0
         for level in self.levels[1:depth]:
             parent = np.r_[-1, node[:-1]]
@@ -409,9 +412,9 @@ def _add_level(docs: DataFrame, spark: SparkSession, trie: Trie, ngram_min: int)
             begins = np.cumsum([0, *sizes[:-1]])
             word, count = trie.look_up(words)
             prob, node = trie.walk(word, count, begins, depth)
-            parent = np.r_[-1, (np.where(count >= CONTEXT_MIN, word, -1) if depth == 1 else node)[:-1]]
+            parent = np.r_[-1, (np.where(count >= trie.context_min, word, -1) if depth == 1 else node)[:-1]]
             parent[begins] = -1
-            at = np.flatnonzero((parent >= 0) & (word >= 0) & (count >= CONTEXT_MIN))
+            at = np.flatnonzero((parent >= 0) & (word >= 0) & (count >= trie.context_min))
             order = at[np.lexsort((word[at], parent[at]))]
             p, w = parent[order], word[order]
             first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (w[1:] != w[:-1])]) if len(order) else order
