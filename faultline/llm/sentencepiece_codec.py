@@ -8,8 +8,9 @@ tries the next shorter match there.  The first complete path is the encoding
 that merging by score gives.
 
 Merges never cross from a visible character to the space mark (no vocabulary
-entry has the mark inside), nor an unknown character, so segments are encoded by
-themselves and kept in a bounded cache.  Runs of several space marks have equal
+entry has the mark inside), nor two neighbours that no entry has side by side (an
+unknown character, for one), so the parts between are encoded by themselves and
+kept in bounded caches.  Runs of several space marks have equal
 merge scores, where order and not adjacency decides: they are merged outright.
 
 Defined results: a null or empty text is the end id alone and decodes to "";
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_schema
 
 MARK = "▁"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 300_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -96,10 +97,11 @@ class BacktrackingEncoder:
         for text, i in self.model.ids.items():
             self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
-        known = "".join(re.escape(t) for t in self.model.ids if len(t) == 1)
-        self.split_unknown = re.compile(f"([^{known}])")
+        # no merge joins two neighbours that no vocabulary entry has side by side
+        self.joined = {t[k : k + 2] for t in self.model.ids for k in range(len(t) - 1)}
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.cache: dict[str, tuple] = {}
+        self.parts: dict[str, list[int]] = {}
         self.compatible: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[int]:
@@ -161,16 +163,27 @@ class BacktrackingEncoder:
                 at, _, untried, choice = path.pop()
         return [token for _, token, _, _ in path]
 
+    def _part(self, part: str) -> list[int]:
+        ids = self.model.ids
+        if len(part) == 1:
+            return [ids[part]] if part in ids else [self.model.bytes_ids[b] for b in part.encode()]
+        found = self.parts.get(part)
+        if found is None:
+            found = self.merge(part) if part.startswith(MARK + MARK) else self._backtrack(part)
+            if len(self.parts) < self.limit:
+                self.parts[part] = found
+        return found
+
     def _segment(self, segment: str) -> tuple:
         """(ids, their decimals) of a run of marks and what follows up to the next mark."""
+        joined, cuts = self.joined, [0]
+        for k in range(1, len(segment)):
+            if segment[k - 1 : k + 1] not in joined:
+                cuts.append(k)
+        cuts.append(len(segment))
         ids: list[int] = []
-        for k, part in enumerate(self.split_unknown.split(segment)):
-            if k % 2:
-                ids += [self.model.bytes_ids[b] for b in part.encode()]
-            elif part in self.model.ids and len(part) == 1:
-                ids.append(self.model.ids[part])
-            elif part:
-                ids += self.merge(part) if part.startswith(MARK + MARK) else self._backtrack(part)
+        for a, b in zip(cuts, cuts[1:]):
+            ids += self._part(segment[a:b])
         found = (ids, " ".join(map(str, ids)))
         if len(self.cache) < self.limit:
             self.cache[segment] = found
