@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .schema import LABELS, SCHEMA, binarise, numeric_features, resolve_label, with_metrics
+from .schema import LABELS, METRICS, SCHEMA, binarise, numeric_features, resolve_label, with_metrics
 
 def _project() -> Column:
     """Project name: the file's name without its ending."""
@@ -18,9 +18,10 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     """All CSV files of a folder under the strict schema, ``project`` from the file name and ``y`` from ``bug``.
 
     The schema is given, so the files are read once; malformed rows have nulls and
-    their text in ``_bad``.
+    their text in ``_bad``; only columns that a query asks for are parsed, so a row
+    counts as malformed by these alone.
     """
-    reader = spark.read.schema(SCHEMA.add("_bad", "string")).option("header", True).option("enforceSchema", False)
+    reader = spark.read.schema(T.StructType([*SCHEMA.fields, T.StructField("_bad", T.StringType())])).option("header", True).option("enforceSchema", False)
     df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.csv").csv(path)
     return df.select(_project(), "*", binarise().alias("y"))
 
@@ -54,14 +55,16 @@ def feature_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def failed_files(spark: SparkSession, path: str) -> DataFrame:
-    """project, n_bad: files with rows that did not parse; the other files go on."""
-    rows = read_projects(spark, path).select("project", "_bad").filter(F.col("_bad").isNotNull())
-    return rows.groupBy("project").agg(F.count("*").alias("n_bad"))
+    """project, n_bad, n_unread: files with rows that did not parse, and how many metric values
+    these lack; the other files go on."""
+    unread = sum((F.col(c).isNull().cast("int") for c in [*METRICS, "bug"]), F.lit(0))
+    rows = read_projects(spark, path).select("project", "_bad", unread.alias("unread")).filter(F.col("_bad").isNotNull())
+    return rows.groupBy("project").agg(F.count("*").alias("n_bad"), F.sum("unread").alias("n_unread"))
 
 
 def decode_text(content: Column) -> Column:
     """Bytes as UTF-8 where they are valid, else as Latin-1."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, F.lit("ISO-8859-1")))
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
 
 
 def read_sources(spark: SparkSession, path: str, pattern: str = "*.java") -> DataFrame:
