@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import arrow_schema, materialize
 from .hashed_linear import fit_logistic, ngram_counts, normal, sigmoid
 
-DIMS = 4096
+DIMS = 2048
 #: Documented bound: most rows of the scorer's training sample.
 SAMPLE_ROWS = 6000
 KEEP_SCORE = 0.5

@@ -48,6 +48,8 @@ GROUP_BYTES = 1 << 20
 HOT_DOCS = 100_000
 LAST_ID = (1 << 63) - 1
 BLOCK = 1 << 21
+#: Bytes around anchors that are refined at once; one bucket may exceed it.
+REFINE_BYTES = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,6 +167,31 @@ def refine(x: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarra
     return out
 
 
+def _refined_runs(shared: list[tuple[int, bytes]], least: list[int], length: int) -> dict[int, list[tuple[int, int]]]:
+    """Runs by class (relative to its bytes) that also start in a smaller document of another class."""
+    x = np.frombuffer(b"".join(b for _, b in shared), dtype=np.uint8)
+    sizes = np.array([len(b) for _, b in shared])
+    first = np.cumsum(sizes) - sizes
+    windows = sizes - length + 1
+    owner = np.repeat(np.arange(len(shared)), windows)
+    starts = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + first[owner]
+    bucket = refine(x, starts, length)
+    some = np.flatnonzero(bucket >= 0)
+    if not len(some):
+        return {}
+    doc = np.array([least[c] for c, _ in shared], dtype=np.int64)[owner[some]]
+    lowest = np.full(int(bucket[some].max()) + 1, LAST_ID, dtype=np.int64)
+    np.minimum.at(lowest, bucket[some], doc)
+    repeated = some[doc > lowest[bucket[some]]]
+    own, at = owner[repeated], starts[repeated] - first[owner[repeated]]
+    # windows that follow each other make one run
+    edge = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(at) > length)]) if len(own) else own
+    runs: dict[int, list[tuple[int, int]]] = {}
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(own)] if len(own) else []):
+        runs.setdefault(shared[own[a]][0], []).append((int(at[a]), int(at[b - 1]) + length))
+    return runs
+
+
 def resolve(keys: list[int], docs: list[int], lefts: list[int], bodies: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each occurrence the runs, relative to its bytes, that also start in a smaller document."""
     classes: dict[tuple, int] = {}
@@ -175,26 +202,17 @@ def resolve(keys: list[int], docs: list[int], lefts: list[int], bodies: list[byt
     by_key: dict[int, int] = {}
     for key, _, _ in classes:
         by_key[key] = by_key.get(key, 0) + 1
-    # buckets with one class are settled; the others are refined together
-    shared = [(c, body) for (key, _, body), c in classes.items() if by_key[key] > 1]
+    # buckets with one class are settled; the others are refined, whole buckets at a time
+    shared = sorted((key, c, body) for (key, _, body), c in classes.items() if by_key[key] > 1)
     runs: dict[int, list[tuple[int, int]]] = {}
-    if shared:
-        x = np.frombuffer(b"".join(b for _, b in shared), dtype=np.uint8)
-        sizes = np.array([len(b) for _, b in shared])
-        first = np.cumsum(sizes) - sizes
-        windows = sizes - length + 1
-        owner = np.repeat(np.arange(len(shared)), windows)
-        starts = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + first[owner]
-        bucket = refine(x, starts, length)
-        doc = np.array([least[c] for c, _ in shared], dtype=np.int64)[owner]
-        some = np.flatnonzero(bucket >= 0)
-        if len(some):
-            lowest = np.full(int(bucket[some].max()) + 1, LAST_ID, dtype=np.int64)
-            np.minimum.at(lowest, bucket[some], doc[some])
-            repeated = some[doc[some] > lowest[bucket[some]]]
-            for k, s in zip(owner[repeated].tolist(), (starts[repeated] - first[owner[repeated]]).tolist()):
-                runs.setdefault(shared[k][0], []).append((s, s + length))
-            runs = {c: _merged(r) for c, r in runs.items()}
+    block: list[tuple[int, bytes]] = []
+    size = 0
+    for place, (key, c, body) in enumerate(shared):
+        block.append((c, body))
+        size += len(body)
+        if place + 1 == len(shared) or size >= REFINE_BYTES and shared[place + 1][0] != key:
+            runs |= _refined_runs(block, least, length)
+            block, size = [], 0
     return [[(0, len(b))] if d > least[c] else runs.get(c, []) for c, d, b in zip(own, docs, bodies)]
 
 
