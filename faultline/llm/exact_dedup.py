@@ -89,6 +89,8 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     verdicts = exact_duplicates(docs)
     digest = F.sha2(lower_ascii(text_or_empty("text")).cast("binary"), 256)
     gone = materialize(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_digest")), "exact-gone")
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
     left = docs.withColumn("__digest", digest)
     left = left.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest")), "left_anti")
     repeats = verdicts.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")

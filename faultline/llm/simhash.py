@@ -32,6 +32,7 @@ BLOCK, PARITY, RADIUS = 23, 11, 3
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
 TEXT_BLOCK = 1 << 20
+BROADCAST_IDS = 1_000_000
 
 
 def word_blocks(data: bytes, size: int = TEXT_BLOCK):
@@ -199,5 +200,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group: the row whose doc_id is its component's smallest; all columns of ``docs``."""
-    gone = near_duplicates(docs, width, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = materialize(near_duplicates(docs, width, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    # ids only: a table up to this size goes to every task, a larger one is joined by shuffle
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
