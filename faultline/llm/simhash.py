@@ -8,6 +8,12 @@ another is within 3 + d1 and 3 + d2 of the other's home; hence, copied to all
 anchors whose excess over the radius sums to at most the threshold, it meets
 every partner at the partner's home.  Pairs are compared there on all 64 bits.
 
+``near_duplicates`` links fingerprints of shingles, as its contract says.  Texts whose
+five-word shingles overlap by 0.8 differ by about ten such bits, too many for any
+covering code, so ``similar_documents`` takes fingerprints that move less - word counts,
+damped, in several independent tables of 46 bits - finds close pairs in the same way, and
+keeps the pairs whose shingle sets pass an exact comparison.
+
 Documents with equal fingerprints are one node, so copies never multiply; a node
 has at most 64 + 2016 others within two bits, whatever the number of documents.
 
@@ -28,6 +34,9 @@ from .components import components
 
 THRESHOLD = 2
 WIDTH = 3
+#: For similar documents: overlap of five-word shingle sets, and independent fingerprint tables.
+SIMILARITY = 0.8
+TABLES = 4
 BLOCK, PARITY, RADIUS = 23, 11, 3
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
@@ -121,7 +130,7 @@ def _syndrome(values):
 
 
 def anchors(prints, threshold: int):
-    """(row, anchor) arrays: every anchor that each fingerprint is copied to."""
+    """(row, anchor) arrays: every anchor that each fingerprint is copied to (of its 46 low bits)."""
     import numpy as np
 
     cosets = _cosets(threshold)
@@ -162,35 +171,37 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def close_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``print`` (distinct) -> ``a`` < ``b``: all pairs that differ in 1 to ``threshold`` bits."""
+    """``table``, ``print`` (distinct) -> ``table``, ``a`` < ``b``: all pairs of a table that differ in 1 to ``threshold`` bits."""
     import pyarrow as pa
 
-    schema = arrow_schema("anchor int, print long")
+    ddl = "table int, anchor int, print long"
+    schema = arrow_schema(ddl)
 
     def deal(limit):
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
-                    prints = batch.column(0).slice(at, 4096).to_numpy()
+                    tables, prints = (batch.column(k).slice(at, 4096).to_numpy() for k in (0, 1))
                     row, anchor = anchors(prints, limit)
                     for k in range(0, len(row), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor[k : k + 100_000], "int32"), pa.array(prints[row[k : k + 100_000]], "int64")], schema=schema)
+                        some = row[k : k + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(tables[some]), pa.array(anchor[k : k + 100_000], "int32"), pa.array(prints[some], "int64")], schema=schema)
 
         return run
 
-    nodes = nodes.select("print")
-    home = nodes.mapInArrow(deal(0), "anchor int, print long").withColumnRenamed("print", "a")
-    copies = nodes.mapInArrow(deal(threshold), "anchor int, print long").withColumnRenamed("print", "b")
+    nodes = nodes.select("table", "print")
+    home = nodes.mapInArrow(deal(0), ddl).withColumnRenamed("print", "a")
+    copies = nodes.mapInArrow(deal(threshold), ddl).withColumnRenamed("print", "b")
     # an unordered pair meets at the home of its smaller print, so it comes out once
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(copies, (home["anchor"] == copies["anchor"]) & near).select("a", "b")
+    return home.join(copies, (home["table"] == copies["table"]) & (home["anchor"] == copies["anchor"]) & near).select(home["table"], "a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     prints = materialize(fingerprints(docs, width), "prints")
     nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "print-nodes")
-    roots = components(close_pairs(nodes, threshold))
+    roots = components(close_pairs(nodes.withColumn("table", F.lit(0)), threshold).select("a", "b"))
     labelled = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
     labelled = materialize(labelled, "print-roots")
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -198,9 +209,126 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     return prints.join(found, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each group: the row whose doc_id is its component's smallest; all columns of ``docs``."""
-    gone = materialize(near_duplicates(docs, width, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+# ---- similar documents: damped word counts, several tables, exact comparison of shingle sets ----
+
+
+def word_prints(data: bytes, tables: int) -> list[int]:
+    """One fingerprint of ``2 * BLOCK`` bits a table; words weigh the root of their count."""
+    from collections import Counter
+
+    import numpy as np
+    import xxhash
+
+    seen: Counter = Counter()
+    for words in word_blocks(data.lower()):
+        seen.update(words)
+    if not seen:
+        return [0] * tables
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), dtype=np.uint64, count=len(seen))
+    weight = np.sqrt(np.fromiter(seen.values(), dtype=np.float64, count=len(seen)))
+    out = []
+    for t in range(tables):
+        z = hashes + np.uint64((0x9E3779B97F4A7C15 * (t + 1)) % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones = weight @ np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = 2 * ones > weight.sum()
+        bits[2 * BLOCK :] = False
+        out.append(int(np.packbits(bits, bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingle_set(data: bytes, width: int):
+    """Distinct 64-bit hashes of the shingles of lower-cased text (fewer words: the whole; none: nothing)."""
+    import numpy as np
+    import xxhash
+
+    found, carry, any_full = [], [], False
+    for words in word_blocks(data.lower()):
+        words = carry + words
+        carry = words[-(width - 1) :] if width > 1 else []
+        if len(words) < width:
+            carry = words
+            continue
+        any_full = True
+        found.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + width])) for k in range(len(words) - width + 1)], dtype=np.uint64)))
+    if not any_full and carry:
+        found.append(np.array([xxhash.xxh64_intdigest(b" ".join(carry))], dtype=np.uint64))
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+
+
+def _word_print_table(docs: DataFrame, tables: int) -> DataFrame:
+    import pyarrow as pa
+
+    ddl = "id long, prints array<long>"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                prints = [word_prints(t or b"", tables) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast("int64"), pa.array(prints, schema.field(1).type)], schema=schema)
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, ddl)
+
+
+def _shingle_table(docs: DataFrame, width: int) -> DataFrame:
+    import pyarrow as pa
+
+    ddl = "id long, shingles array<long>"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t or b"", width) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast("int64"), pa.array(sets, schema.field(1).type)], schema=schema)
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, ddl)
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = 5, tables: int = TABLES, threshold: int = THRESHOLD) -> DataFrame:
+    """``a`` < ``b``: linked documents whose shingle sets overlap (intersection over union) by ``similarity`` or more.
+
+    Documents with one fingerprint are compared with the smallest of them, and close
+    fingerprints through their smallest documents, so a group of copies gives as many
+    pairs as it has members.  Rows without a doc_id are left out; rows that repeat one
+    are taken as one.
+    """
+    prints = materialize(_word_print_table(docs.filter(F.col("doc_id").isNotNull()), tables), "word-prints")
+    members = prints.select("id", F.posexplode("prints").alias("table", "print"))
+    nodes = materialize(members.groupBy("table", "print").agg(F.min("id").alias("first"), F.max("id").alias("last")), "word-nodes")
+    inside = members.join(nodes.filter("first < last"), ["table", "print"]).select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a < b")
+    close = close_pairs(nodes.select("table", "print"), threshold)
+    one = nodes.select("table", F.col("print").alias("a"), F.col("first").alias("d1"))
+    two = nodes.select("table", F.col("print").alias("b"), F.col("first").alias("d2"))
+    across = close.join(one, ["table", "a"]).join(two, ["table", "b"]).select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).filter("a < b")
+    pairs = materialize(inside.unionByName(across).distinct(), "candidates")
+    wanted = pairs.select(F.col("a").alias("wanted")).union(pairs.select("b")).distinct()
+    wanted = materialize(wanted, "candidate-ids")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    some = docs.join(wanted, docs["doc_id"] == wanted["wanted"], "left_semi")
+    sets = materialize(_shingle_table(some, width), "shingles").dropDuplicates(["id"])
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    either = F.size("x") + F.size("y") - shared
+    return both.filter((either == 0) | (shared >= similarity * either)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, similarity: float | None = SIMILARITY) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id; all columns of ``docs``.
+
+    Groups are the components of close fingerprints and, with ``similarity``, of similar
+    documents; rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, width, threshold).filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    if similarity is not None:
+        found = materialize(found, "near-links").unionByName(similar_documents(docs, similarity))
+    # a root is its component's smallest id, so every other member is a node
+    gone = materialize(components(found).select(F.col("node").alias("__gone")).distinct(), "near-gone")
     # ids only: a table up to this size goes to every task, a larger one is joined by shuffle
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)

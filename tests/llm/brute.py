@@ -54,6 +54,15 @@ def near(docs, width=3, threshold=2):
     return [(i, f"{prints[k]:016x}", least[find(k)]) for k, (i, _) in enumerate(docs)]
 
 
+def similar(docs, least=0.8, width=5):
+    """Pairs of ids whose shingle sets overlap by ``least`` or more."""
+    sets = []
+    for i, t in docs:
+        w = (t or "").encode().lower().split()
+        sets.append((i, {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}))
+    return [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if len(x & y) >= least * len(x | y)]
+
+
 def measures(text):
     text = text or ""
     words = WORD.findall(text)

@@ -63,8 +63,29 @@ def test_close_pairs_equal_all_pairs(spark):
     prints = {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(4)} | set(base)
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
-    got = simhash.close_pairs(spark.createDataFrame([(p,) for p in signed], "print long")).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    got = simhash.close_pairs(spark.createDataFrame([(0, p) for p in signed] + [(1, signed[0])], "table int, print long")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
+
+
+def test_similar_documents(spark, docs, empty):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    texts, near = [], set()
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        texts.append(" ".join(words))
+        if k % 2:  # a copy with two words changed: an overlap of about 0.93
+            for place in (50, 200):
+                words[place] = "changed"
+            near.add((len(texts) - 1, len(texts)))
+            texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in simhash.similar_documents(df).collect()}
+    assert got <= near and len(got) >= 0.9 * len(near)
+    assert simhash.drop_near_duplicates(df).count() == len(texts) - len(got)
+    assert simhash.similar_documents(empty).count() == 0
+    assert all(simhash.shingle_set((t or "").encode(), 5).size == len({tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} - {()}) for t in texts[:5])
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
