@@ -19,14 +19,14 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import id_encoder
 from .common import arrow_schema, materialize
 
 END_ID = 2
 CAPACITY = 1024
-GROUP_ITEMS = 1024
+GROUP_ITEMS = 8192
 #: A bin with less free space than this is closed as it is.
 CLOSED_SLACK = 16
 
@@ -131,7 +131,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
     """Adds ``sequence_id`` and ``offset`` to rows that have a ``length`` from 1 to ``capacity``."""
     pieces = pieces.drop("sequence_id", "offset")
     columns = pieces.columns
-    out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, __open boolean"
+    out_type = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("__open", T.BooleanType())])
     done, level, rest, final = None, 0, pieces, False
     count = rest.count()
     while True:
