@@ -33,9 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def workspace(spark: SparkSession, label: str) -> str:
-    """A new, unused folder below the shared one."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused folder below the shared one; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all stage tables of this session.  Results read them lazily: call it once these are written."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -77,10 +92,10 @@ def fold_of_py(doc_id: int, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
-def arrow_schema(ddl: str):
+def arrow_schema(schema: str | T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T._parse_datatype_string(ddl))
+    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def tokenizer_path(name: str) -> str:

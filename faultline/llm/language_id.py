@@ -69,7 +69,7 @@ class LanguageModel:
             return
         targets = (self.code[y] > 0).astype(np.float32)
         share = 1 / np.bincount(y, minlength=len(names))[y]
-        self.w, self.b = fit_logistic(x, targets, share)
+        self.w, self.b = fit_logistic(x, targets, share, steps=150)
         right = ((x @ self.w + self.b > 0) == (targets > 0)) * share[:, None]
         self.weight = np.maximum(2 * right.sum(0) / share.sum() - 1, 1e-3)
 

@@ -35,7 +35,7 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import arrow_schema, materialize, partitions, workspace
 
@@ -359,7 +359,7 @@ def _runs(around: DataFrame) -> DataFrame:
     return around.repartition(partitions(around.sparkSession), "key").mapInArrow(owners, ddl)
 
 
-def _cut(docs: DataFrame, columns: list[str], ddl: str, make) -> DataFrame:
+def _cut(docs: DataFrame, columns: list[str], out: str | T.StructType, make) -> DataFrame:
     """``make(body, runs, kept bytes)`` for every row, after its held columns."""
     import pyarrow as pa
 
@@ -369,7 +369,7 @@ def _cut(docs: DataFrame, columns: list[str], ddl: str, make) -> DataFrame:
     runs = _runs(_surroundings(texts, copies, shared))
     runs = materialize(runs.unionByName(copies.select("id", "tag", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))), "runs")
     runs = runs.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    schema = arrow_schema(ddl)
+    schema = arrow_schema(out)
 
     def apply(key, table, found):
         spans: dict[tuple, list] = {}
@@ -385,7 +385,7 @@ def _cut(docs: DataFrame, columns: list[str], ddl: str, make) -> DataFrame:
         new = [pa.array(c, f.type) for c, f in zip(made, list(schema)[len(columns) :])]
         return pa.table([*[h.cast(f.type) for h, f in zip(held, schema)], *new], schema=schema)
 
-    return texts.groupBy("group").cogroup(runs.groupBy("group")).applyInArrow(apply, ddl)
+    return texts.groupBy("group").cogroup(runs.groupBy("group")).applyInArrow(apply, out)
 
 
 def repeated_substrings(docs: DataFrame) -> DataFrame:
@@ -396,7 +396,7 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes cut from ``text``; texts without any stay as they are, null ones null."""
     others = [c for c in docs.columns if c != "text"]
-    quoted = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
     held = docs.withColumn("__null", F.col("text").isNull())
-    made = _cut(held, [*others, "__null"], ", ".join([*quoted, "`__null` boolean", "text string"]), lambda body, runs, kept: ((kept if runs else body).decode("utf-8", "ignore"),))
+    out = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in others] + [T.StructField("__null", T.BooleanType()), T.StructField("text", T.StringType())])
+    made = _cut(held, [*others, "__null"], out, lambda body, runs, kept: ((kept if runs else body).decode("utf-8", "ignore"),))
     return made.withColumn("text", F.when(~F.col("__null"), F.col("text"))).select(*docs.columns)

@@ -42,3 +42,13 @@ def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path):
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_stage_tables_are_released(spark, sf, tmp_path):
+    import os
+
+    from faultline.llm.common import materialize, release
+
+    df = materialize(spark.range(5), "released")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and release(spark) >= 1 and not os.path.exists(path)
