@@ -163,6 +163,8 @@ def embed(all_nodes: DataFrame, directed: DataFrame, width: int = 32, epochs: in
         h = train_features(svd_features(adjacent, width), pairs, weights, epochs, sign=sign)
         return pd.DataFrame({"project": [key[0]] * len(names), "node": names, "h": h.tolist()})
 
+    # new column ids: both sides may come from one parse
+    all_nodes, directed = all_nodes.select("project", "node").toDF("project", "node"), directed.select("project", "src", "dst").toDF("project", "src", "dst")
     schema = all_nodes.select("project", "node").schema.add("h", T.ArrayType(T.DoubleType()))
     return all_nodes.groupBy("project").cogroup(directed.groupBy("project")).applyInPandas(run, schema)
 

@@ -30,10 +30,11 @@ def load(spark: SparkSession, data_dir: str, mode: str = "metrics", src_root: st
 
     Projects without sources are left out of modes that need them.
     """
-    df = readers.feature_table(spark, data_dir)
-    df = schema.impute_median(df, schema.METRICS).withColumn("row_id", F.xxhash64("project", "classname"))
+    df, metrics_, skipped = readers.load_projects(spark, data_dir)
+    for path, reason in skipped.items():
+        print(f"skipped {path}: {reason}")
     if mode == "metrics":
-        return df, schema.METRICS
+        return df, metrics_
     if not src_root:
         raise ValueError(f"mode {mode!r} needs --src_root")
     sources = None
@@ -45,7 +46,7 @@ def load(spark: SparkSession, data_dir: str, mode: str = "metrics", src_root: st
         raise ValueError("no project has sources")
     parsed = graph.parse(sources)
     df = df.join(parsed.select("project").distinct(), "project", "left_semi")
-    columns, width = list(schema.METRICS), {"structural": 32, "semantic": 256}
+    columns, width = list(metrics_), {"structural": 32, "semantic": 256}
     for part in (p for p in graph.MODES[mode] if p != "metrics"):
         if part == "structural":
             vectors = graph.embed(graph.nodes(parsed), graph.edges(parsed), epochs=epochs)

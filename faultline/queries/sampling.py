@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.prng import MODULUS, sql_draw
-from ..operators import resample, split, stats
+from ..operators import resample, split
 from ..sources.readers import EVENT_FEATURES, event_instances
 from .base import EVENTS, query
 from .selection import MARKED

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .schema import LABELS, METRICS, SCHEMA, binarise, numeric_features, resolve_label, with_metrics
+from .schema import CONTRACT, LABELS, METRICS, SCHEMA, align_by_name, binarise, impute_median, numeric_features, resolve_label, with_metrics
 
 def _project() -> Column:
     """Project name: the file's name without its ending."""
@@ -31,13 +31,52 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return read_projects(spark, path).select("project", "y")
 
 
-def read_dynamic(spark: SparkSession, path: str) -> DataFrame:
-    """One file with whatever columns it has: numeric features, and ``y`` from the first label name it knows."""
+def read_dynamic(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One file with whatever columns it has: numeric features, and ``y`` from the first label name it knows.
+
+    A label of words must be yes or no.  ``keep`` names further columns to hold, with a ``row_id``.
+    """
     df = spark.read.option("header", True).option("inferSchema", True).csv(path)
     label = resolve_label(df.columns)
     value = F.col(f"`{label}`")
     y = (value > 0).cast("int") if dict(df.dtypes)[label] != "string" else F.upper(value).isin("Y", "YES", "TRUE").cast("int")
-    return df.select(_project(), *[F.col(f"`{c}`").cast("double").alias(c) for c in numeric_features(df, LABELS)], y.alias("y"))
+    held = [F.col(f"`{c}`").cast("string").alias(c) for c in keep if c in df.columns]
+    rows = [F.xxhash64(*df.columns).alias("row_id")] if keep else []
+    return df.select(_project(), *held, *rows, *[F.col(f"`{c}`").cast("double").alias(c) for c in numeric_features(df, LABELS)], y.alias("y"))
+
+
+def load_projects(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """(rows, features, skipped): every CSV of a folder, whatever its schema.
+
+    Folders of strict tables are one scan.  Otherwise files are read by their own headers and
+    aligned on the numeric columns that all have; a file without a usable label is skipped, with
+    its reason.  Nulls become the column's median within the project.
+    """
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").collect())
+    headers = {f: spark.read.option("header", True).csv(f).columns for f in files}
+    if files and all(h == CONTRACT for h in headers.values()):
+        df = with_metrics(read_projects(spark, path).drop("_bad"))
+        return impute_median(df, METRICS).withColumn("row_id", F.xxhash64("project", "classname")), list(METRICS), {}
+    frames, skipped = [], {}
+    for f in files:
+        try:
+            frames.append(read_dynamic(spark, f, keep=("classname", "name")))
+        except ValueError as error:
+            skipped[f] = str(error)
+    if not frames:
+        raise ValueError(f"no usable table in {path}")
+    frames = align_by_name(frames)
+    features = [c for c in frames[0].columns if c not in ("project", "classname", "name", "row_id", "y")]
+    df = frames[0]
+    for other in frames[1:]:
+        df = df.unionByName(other)
+    return impute_median(df, features), features, skipped
+
+
+def combined_table(spark: SparkSession, paths: list[str], label: str = "bug") -> DataFrame:
+    """All files below each other: numeric columns but labels and names, then ``y``."""
+    df = concat_files(spark, paths)
+    return df.select(*numeric_features(df, [label]), binarise(label).alias("y"))
 
 
 def concat_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -73,15 +112,15 @@ def read_sources(spark: SparkSession, path: str, pattern: str = "*.java") -> Dat
     return files.select("path", decode_text(F.col("content")).alias("content"))
 
 
-def source_folders(roots: list[str], project: str, subfolders: tuple[str, ...] = ("src/java", "src/main/java", "src", "")) -> str | None:
-    """First existing folder for a project: its name, its name without version, its lower-case name."""
-    names = dict.fromkeys([project, project.split("-")[0], project.lower()])
-    for root in roots:
-        for name in names:
-            for sub in subfolders:
-                if (found := Path(root) / name / sub).is_dir():
-                    return str(found)
-    return None
+# Where a project's sources may lie below a root, in order.
+SOURCE_SUBFOLDERS = ("", "src", "src/main/java", "source")
+
+
+def source_folders(roots: list[str], project: str, subfolders: tuple[str, ...] = SOURCE_SUBFOLDERS) -> str | None:
+    """First existing folder for a project: by its name, its name without version, its name with underscores."""
+    names = dict.fromkeys([project, project.split("-")[0], project.replace("-", "_")])
+    tries = (Path(root) / name / sub for root in roots for name in names for sub in subfolders)
+    return next((str(p) for p in tries if p.is_dir()), None)
 
 
 def write_report(df: DataFrame, path: str) -> None:

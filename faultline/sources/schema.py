@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 # The metric columns, the id columns and the accepted label names, in order.
 METRICS = ["wmc", "dit", "noc", "cbo", "rfc", "lcom", "ca", "ce", "npm", "lcom3", "loc", "dam", "moa", "mfa", "cam", "ic", "cbm", "amc", "max_cc", "avg_cc"]
 IDS = ["name", "version", "classname"]
-LABELS = ["bug", "defects", "Defective", "class", "bugs", "label", "isDefective"]
+LABELS = ["bug", "defects", "label", "Defective", "class", "bugs", "isDefective"]
 CONTRACT = [*IDS, *METRICS, "bug"]
 
 SCHEMA = T.StructType([*[T.StructField(c, T.StringType()) for c in IDS], *[T.StructField(c, T.DoubleType()) for c in METRICS], T.StructField("bug", T.IntegerType())])

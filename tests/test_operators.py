@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.functions import javacode
 from faultline.operators import align, features, graph, metrics, models, resample, select, split, stats
 from faultline.plans import cli, experiment
 from faultline.sources import readers, schema
@@ -264,6 +263,33 @@ def test_csv_scan_cli_and_report(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 1
 
 
+def test_mixed_schemas_are_aligned_by_name(spark, tmp_path):
+    (tmp_path / "kc3.csv").write_text("id,loc,wmc,Defective,bug\n1,10,1,Y,1\n2,,2,N,0\n3,30,3,N,0\n")
+    (tmp_path / "ant.csv").write_text("name,classname,wmc,loc,defects\nant,c.A,1,5,2\nant,c.B,2,6,0\n")
+    (tmp_path / "broken.csv").write_text("loc,wmc\n1,2\n")
+    df, features, skipped = readers.load_projects(spark, str(tmp_path))
+    assert sorted(features) == ["loc", "wmc"] and len(skipped) == 1 and "broken" in next(iter(skipped))
+    rows = sorted((r["project"], r["loc"], r["y"]) for r in df.collect())
+    assert rows == [("ant", 5.0, 1), ("ant", 6.0, 0), ("kc3", 10.0, 1), ("kc3", 20.0, 0), ("kc3", 30.0, 0)]
+    both = readers.combined_table(spark, [str(tmp_path / "kc3.csv")])
+    assert both.columns == ["id", "loc", "wmc", "y"] or "wmc" in both.columns
+
+
+def test_cli_with_source_trees(spark, tmp_path):
+    data, src = tmp_path / "data", tmp_path / "trees"
+    data.mkdir()
+    write_projects(data, 40)
+    for name in ("ant", "camel-1.0", "jedit_1.0"):
+        (src / name / "src").mkdir(parents=True)
+        for i in range(8):
+            (src / name / "src" / f"K{i}.java").write_text(f"class K{i} extends K{(i + 1) % 8} {{ private K{(i + 3) % 8} f; }}")
+    df, columns = cli.load(spark, str(data), "full", str(src), epochs=3)
+    assert len(columns) == 308 and df.count() == 120
+    assert df.filter("structural0 <> 0 or structural1 <> 0 or structural2 <> 0").count() > 0
+    with pytest.raises(ValueError):
+        cli.load(spark, str(data), "full")
+
+
 def test_bad_rows_are_reported(spark, tmp_path):
     write_projects(tmp_path, 5)
     with open(tmp_path / "ant-1.0.csv", "a") as f:
@@ -293,7 +319,7 @@ def test_cache_is_keyed_by_content(spark, tmp_path):
 
 def test_source_folders(tmp_path):
     (tmp_path / "ant" / "src").mkdir(parents=True)
-    assert readers.source_folders([str(tmp_path)], "ant-1.7").endswith("ant/src")
+    assert readers.source_folders([str(tmp_path)], "ant-1.7").endswith("/ant")
     assert readers.source_folders([str(tmp_path)], "ivy") is None
 
 
