@@ -72,11 +72,27 @@ def trim_positional(df: DataFrame, features: str = "x") -> DataFrame:
     return df.withColumn(features, F.slice(features, 1, width))
 
 
+def exact_medians(df: DataFrame, columns: list[str], by: str = "project") -> DataFrame:
+    """by, ``__med_<column>``: medians from counts by value.
+
+    Values are counted before the shuffle and ranked by a running sum, so a group of any size
+    costs a sort of its distinct values, spread over its columns, and no value list is held.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)]))
+    long = df.select(F.col(by).alias("__by"), cells.alias("c")).select("__by", "c.k", "c.v").filter("v is not null")
+    counts = long.groupBy("__by", "k", "v").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("__by", "k").agg(F.sum("n").alias("t")).withColumnsRenamed({"__by": "__tby", "k": "__tk"})
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("__by", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = upto.join(totals, F.col("__by").eqNullSafe(F.col("__tby")) & (F.col("k") == F.col("__tk")))
+    holds = lambda at: F.max(F.when((F.col("upto") >= at) & (F.col("upto") - F.col("n") < at), F.col("v")))
+    middle = placed.groupBy("__by", "k").agg(((holds(F.floor((F.col("t") + 1) / 2)) + holds(F.floor((F.col("t") + 2) / 2))) / 2).alias("m"))
+    return middle.groupBy("__by").agg(*[F.max(F.when(F.col("k") == k, F.col("m"))).alias(f"__med_{c}") for k, c in enumerate(columns)])
+
+
 def impute_median(df: DataFrame, columns: list[str], by: str = "project") -> DataFrame:
     """Exact median of the column within its group where null; an all-null column stays null."""
-    medians = df.groupBy(by).agg(*[F.median(c).alias(f"__med_{c}") for c in columns]).withColumnRenamed(by, "__by")
-    joined = df.join(medians, F.col(by).eqNullSafe(F.col("__by")))
-    return joined.select(*[F.coalesce(c, f"__med_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
+    joined = df.join(exact_medians(df, columns, by), F.col(by).eqNullSafe(F.col("__by")), "left")
+    return joined.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"__med_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def pad_or_trim(df: DataFrame, counts: DataFrame, width: int, key: str = "project", position: str = "pos", vector: str = "x") -> DataFrame:
