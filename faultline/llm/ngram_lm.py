@@ -174,18 +174,25 @@ def write_shard(path: str, meta: dict, sequences: dict[str, EliasFano], arrays:
     system.move(part, where)
 
 
+def _private_copy(system, where: str) -> np.ndarray:
+    import os
+    import shutil
+
+    local = local_temp(".trie")
+    with system.open_input_stream(where) as source, open(local, "wb") as target:
+        shutil.copyfileobj(source, target)
+    data = np.memmap(local, dtype=np.uint8, mode="r")
+    os.unlink(local)
+    return data
+
+
 @lru_cache(maxsize=4096)
 def _mapped(path: str) -> tuple[dict, np.ndarray]:
     from pyarrow import fs
 
     system, where = fs.FileSystem.from_uri(path)
     if not isinstance(system, fs.LocalFileSystem):  # a shared store that cannot be mapped: a private copy, unlinked once open
-        import os
-
-        local = local_temp(".trie")
-        fs.copy_files(path, local)
-        data = np.memmap(local, dtype=np.uint8, mode="r")
-        os.unlink(local)
+        data = _private_copy(system, where)
     else:
         data = np.memmap(where, dtype=np.uint8, mode="r")
     size = int.from_bytes(data[:8].tobytes(), "little")

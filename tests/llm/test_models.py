@@ -45,6 +45,19 @@ def test_elias_fano_finds_all_and_nothing_else():
     assert ngram_lm.EliasFano.build(np.zeros(0, np.uint64)).find(np.array([1], np.uint64)).tolist() == [-1]
 
 
+def test_shards_survive_the_file(tmp_path):
+    from pyarrow import fs
+
+    values = np.arange(5, 900, 7).astype(np.uint64)
+    path = f"file://{tmp_path}/shard"
+    ngram_lm.write_shard(path, {}, {"nodes": ngram_lm.EliasFano.build(values)}, {"prob": ngram_lm.quantise(np.full(len(values), -1.5))})
+    shard = ngram_lm.Shard(path)
+    assert shard.sequence("nodes").find(values).tolist() == list(range(len(values)))
+    assert abs(shard.arrays["prob"][3] * ngram_lm.STEP - 1.5) < ngram_lm.STEP
+    copied = ngram_lm._private_copy(fs.LocalFileSystem(), f"{tmp_path}/shard")
+    assert copied.tobytes() == (tmp_path / "shard").read_bytes()
+
+
 def brute_scores(rows, order_two=True):
     """Base and bigram scores by definition."""
     train = [brute.tokens(t) for i, t in rows if brute.fold(i, 7) != 2]
