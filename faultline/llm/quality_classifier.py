@@ -20,6 +20,7 @@ table; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -50,10 +51,11 @@ def measure(data: bytes) -> dict[str, float]:
         "symbols": int(seen[list(SYMBOLS)].sum()) / n,
         "bars": int(seen[124]) / n,
         "shouts": data.count(b"!!") / n,
-        "capitals": upper / max(1, upper + lower),
+        "capitals": upper / max(1, upper + lower) if upper + lower >= 20 else 0.1,
         "digits": int(seen[48:58].sum()) / visible,
         "length": visible / n,
         "unique": len(set(words)) / n,
+        "runs": sum(map(eq, words, words[1:])) / n,
         "dup_lines": (len(lines) - len(set(lines))) / max(1, len(lines)),
         "stops": int(seen[46] + seen[63]) / n,
     }
@@ -72,6 +74,7 @@ LABELLERS = (
     ("digits", lambda m: _vote(0, m["digits"] > 0.4, m["digits"] < 0.1)),
     ("length", lambda m: _vote(0, m["words"] > 0 and not 2 <= m["length"] <= 20, 3 <= m["length"] <= 12)),
     ("unique", lambda m: _vote(0, m["words"] >= 100 and m["unique"] < 0.1, m["words"] >= 50 and m["unique"] > 0.25)),
+    ("runs", lambda m: _vote(0, m["words"] >= 5 and m["runs"] > 0.2, m["words"] >= 5 and m["runs"] < 0.05)),
     ("dup_lines", lambda m: _vote(0, m["dup_lines"] > 0.5, m["dup_lines"] < 0.1)),
     ("stops", lambda m: _vote(0, m["words"] >= 30 and m["stops"] < 0.005, m["stops"] > 0.01 and m["symbols"] < 0.3)),
     ("empty", lambda m: _vote(0, m["words"] == 0, False)),
@@ -114,13 +117,15 @@ class LabelModel:
         """Probability that a document with these votes is good."""
         votes = votes_of(codes)
         gain = self.odds[np.arange(votes.shape[1])[None, :], votes].sum(1)
+        # abstentions alone, with no vote for bad, never make a document worse than the average one
+        gain = np.where((votes == BAD).any(axis=1), gain, np.maximum(gain, 0))
         return sigmoid(np.log(self.prior / (1 - self.prior)) + gain)
 
 
 def features(data: bytes) -> np.ndarray:
     """Hashed n-grams, then the measures, each squeezed to 0..1."""
     m = measure(data)
-    own = np.array([min(m[k] / top, 1.0) for k, top in (("symbols", 1), ("bars", 1), ("shouts", 1), ("capitals", 1), ("digits", 1), ("length", 20), ("unique", 1), ("dup_lines", 1), ("stops", 0.2))] + [m["words"] == 0], dtype=np.float32)
+    own = np.array([min(m[k] / top, 1.0) for k, top in (("symbols", 1), ("bars", 1), ("shouts", 1), ("capitals", 1), ("digits", 1), ("length", 20), ("unique", 1), ("runs", 1), ("dup_lines", 1), ("stops", 0.2))] + [m["words"] == 0], dtype=np.float32)
     return np.concatenate([normal(ngram_counts(data, DIMS)), own])
 
 
