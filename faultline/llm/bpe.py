@@ -218,7 +218,6 @@ class IdEncoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         vocab = ByteVocabulary(path)
         order = [bytes([b]) for b in sorted(range(256), key=lambda b: vocab.ids[bytes([b])])] + [vocab.bytes_of[i] for _, i in sorted(vocab.ranks.values())]
@@ -226,14 +225,18 @@ class IdEncoder:
         if any(vocab.ids[b] != k for b, k in ranks.items()):
             raise ValueError("token ids are not in merge order")
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None  # loaded when a text first needs it
         self.specials = tuple(vocab.specials)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.specials) or _LONG_RUN.search(text) or not text.isascii() and _RARE.search(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
+            if self._library is None:
+                from tokenizers import Tokenizer
+
+                self._library = Tokenizer.from_file(self.path)
+            ids = self._library.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
         ids = array.array("I", ids)

@@ -22,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import id_encoder
-from .common import arrow_schema, materialize
+from .common import arrow_schema, give_back, materialize
 
 END_ID = 2
 CAPACITY = 1024
@@ -200,6 +200,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                         if with_ids:
                             out["ids"].append(ids[4 * a : 4 * b])
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, ddl)
 

@@ -25,7 +25,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, materialize
+from .common import arrow_schema, give_back, materialize
 from .hashed_linear import fit_logistic, ngram_counts, normal, sigmoid
 
 DIMS = 2048
@@ -141,6 +141,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast("int64"), pa.array([pattern(t or b"") for t in part.column(1).to_pylist()], "int64")], schema=schema)
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, ddl)
 
@@ -239,5 +240,6 @@ def drop_low_quality(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFra
                 part = batch.slice(at, 1024)
                 keep = [scorer.score((t or "").encode())[0] >= keep_score for t in part.column(place).to_pylist()]
                 yield part.filter(pa.array(keep, "bool"))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_schema, materialize
+from .common import arrow_schema, give_back, materialize
 from .components import components
 
 THRESHOLD = 2
@@ -166,6 +166,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 part = batch.slice(at, 256)
                 prints = [fingerprint(t, width) if t else 0 for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast("int64"), pa.array(prints, "int64")], schema=schema)
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, ddl)
 
@@ -269,6 +270,7 @@ def _word_print_table(docs: DataFrame, tables: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 prints = [word_prints(t or b"", tables) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast("int64"), pa.array(prints, schema.field(1).type)], schema=schema)
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, ddl)
 
@@ -285,6 +287,7 @@ def _shingle_table(docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t or b"", width) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast("int64"), pa.array(sets, schema.field(1).type)], schema=schema)
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, ddl)
 

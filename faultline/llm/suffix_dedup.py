@@ -37,7 +37,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import arrow_schema, materialize, partitions, workspace
+from .common import arrow_schema, give_back, materialize, partitions, workspace
 
 LENGTH = 50
 GRAM = 20
@@ -50,6 +50,8 @@ LAST_ID = (1 << 63) - 1
 BLOCK = 1 << 21
 #: Bytes around anchors that are refined at once; one bucket may exceed it.
 REFINE_BYTES = 1 << 20
+#: Surroundings that a task holds as Python objects at once; one bucket may exceed it.
+OWNER_ROWS = 40_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -226,7 +228,7 @@ def _groups(docs: DataFrame, columns: list[str], group_bytes: int) -> tuple[Data
     held = [F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]
     rows = docs.select(key.alias("id"), body.alias("body"), F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias("group"), *held)
     name, parts = f"faultline_texts_{uuid.uuid4().hex}", partitions(spark)
-    rows.repartition(parts, "group").write.bucketBy(parts, "group").option("path", workspace(spark, "texts")).option("compression", "zstd").saveAsTable(name)
+    rows.repartition(parts, "group").write.bucketBy(parts, "group").option("path", workspace(spark, "texts")).saveAsTable(name)
     return spark.table(name), count
 
 
@@ -341,14 +343,25 @@ def _runs(around: DataFrame) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def owners(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        # buckets of a task are worked on in turn, so that few rows are Python objects at once
+        turn = np.mod(table["key"].to_numpy(), -(-table.num_rows // OWNER_ROWS))
+        for k in range(int(turn.max()) + 1):
+            yield from settle(table.filter(pa.array(turn == k)))
+        del table
+        give_back()
+
+    def settle(table):
         keys, docs, tags, starts, lefts, bodies = [], [], [], [], [], []
         spans: dict[tuple, list] = {}
-        for batch in batches:
-            for k, d, t, s, left, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if body is None:
-                    spans.setdefault((d, t), []).append((s, s + left))
-                else:
-                    keys.append(k), docs.append(d), tags.append(t), starts.append(s), lefts.append(left), bodies.append(body)
+        for k, d, t, s, left, body in zip(*(c.to_pylist() for c in table.columns)):
+            if body is None:
+                spans.setdefault((d, t), []).append((s, s + left))
+            else:
+                keys.append(k), docs.append(d), tags.append(t), starts.append(s), lefts.append(left), bodies.append(body)
         for d, t, s, found in zip(docs, tags, starts, resolve(keys, docs, lefts, bodies)):
             if found:
                 spans.setdefault((d, t), []).extend((s + a, s + b) for a, b in found)
