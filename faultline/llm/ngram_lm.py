@@ -1,9 +1,10 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
 Training counts words, then n-grams level by level.  A level's nodes are keyed by
-(parent node, word).  Each level is dealt out by ranges of that key; the owner of
-a range writes one shard file to the shared folder and nothing is gathered on the
-driver but a line for each shard.  A shard holds
+(parent node, word).  Counting tasks merge their n-grams into sorted runs and send each
+range of that key as one block of compressed differences; the owner of a range merges
+the blocks, prunes and writes one shard file to the shared folder.  Nothing is gathered
+on the driver but a line for each shard.  A shard holds
 
 * ``parents``: the parent nodes that have successors, a monotone sequence in
   Elias-Fano code;
@@ -17,9 +18,8 @@ within the context, in sorted blocks of distinct n-grams.
 The model interpolates: P(w | context) = (c - D) / c(context) + backoff(context) *
 P(w | shorter context), down to discounted words with one class for unknown
 words, so probabilities over the vocabulary and that class sum to one.  Orders
-above one cover words that make up ``CONTEXT_SHARE`` of all tokens and n-grams seen
-``NGRAM_MIN`` times or more; what is pruned goes to the back-off weight.  Words
-are known by a 64-bit hash.
+above one cover all n-grams seen ``NGRAM_MIN`` times or more, at every size of
+corpus; what is pruned goes to the back-off weight.  Words are known by a 64-bit hash.
 
 Defined results: a null text is empty, one end token; with nothing to learn from
 all tokens are unknown; a null doc_id is in no fold but the training rows' (its
@@ -36,17 +36,21 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_schema, fold_of, local_temp, materialize, partitions, workspace
+from .common import arrow_schema, fold_of, give_back, local_temp, materialize, partitions, workspace
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 2
-#: Higher orders cover words with at least this share of all tokens (and two occurrences):
-#: a share, so that the model's make-up is the same at every size of corpus.
-CONTEXT_SHARE = 5e-7
+#: No word is left out of the higher orders for a small share of all tokens.
+CONTEXT_SHARE = 0.0
+#: N-grams seen less often are pruned; so words seen less often are in none that stays.
 NGRAM_MIN = 2
 DISCOUNT = 0.75
 #: Tokens of one block of texts that is looked up at once.
 BLOCK_TOKENS = 1_000_000
+#: Distinct n-grams that a counting task merges before it sends them on.
+RUN_NGRAMS = 3_000_000
+#: Tokens for each range of a level's keys, and the most ranges of a level.
+RANGE_TOKENS, MOST_RANGES = 1_000_000, 2048
 #: Quantisation: log10 from -13 to 0 in 16 bits.
 STEP = 13 / 65535
 
@@ -283,9 +287,12 @@ def token_blocks(batches, text: int):
 class Trie:
     """The model: its levels and the three numbers of the unigram level."""
 
-    def __init__(self, levels: list[Level], tokens: int, words: int, discount: float):
+    def __init__(self, levels: list[Level], tokens: int, words: int, discount: float, ngram_min: int = NGRAM_MIN):
         self.levels, self.tokens, self.words, self.discount = levels, tokens, words, discount
-        self.context_min = max(2, int(np.ceil(tokens * CONTEXT_SHARE)))
+        self.context_min = ngram_min
+
+    def log10_word(self, count: np.ndarray) -> np.ndarray:
+        return np.log10(np.maximum(count - self.discount, 1e-9) / self.tokens)
 
     def log10_unknown(self) -> float:
         return float(np.log10(max(self.discount * self.words, 1) / max(self.tokens, 1))) if self.words else 0.0
@@ -310,7 +317,7 @@ class Trie:
         prob = np.full(len(word), self.log10_unknown())
         known = word >= 0
         if self.words:
-            prob[known] = np.log10(np.maximum(count[known] - self.discount, 1e-9) / self.tokens)
+            prob[known] = self.log10_word(count[known])
         node = np.where(known & (count >= self.context_min), word, -1)
         usable = node >= 0
         for level in self.levels[1:depth]:
@@ -394,7 +401,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(run, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
 
 
-def _train_words(docs: DataFrame, spark: SparkSession) -> Trie:
+def _train_words(docs: DataFrame, spark: SparkSession, ngram_min: int) -> Trie:
     counts = materialize(_word_counts(docs), "word-counts")
     row = counts.agg(F.sum("count"), F.count("*"), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
     tokens, words, once, twice = row[0] or 0, row[1], row[2], row[3]
@@ -405,54 +412,144 @@ def _train_words(docs: DataFrame, spark: SparkSession) -> Trie:
         write_shard(path, {}, {"nodes": EliasFano.build(hashes)}, {"count": table["count"].to_numpy().astype(np.uint64)})
 
     shards = _write_level(counts, ["hash"], spark, "trie-1", shard_of)
-    return Trie([Level([(s + 2**63, *rest) for s, *rest in shards], words)], tokens, words, discount)
+    return Trie([Level([(s + 2**63, *rest) for s, *rest in shards], words)], tokens, words, discount, ngram_min)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Count and compressed byte planes: the upper planes of small numbers are zeros."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, dtype) -> np.ndarray:
+    import pyarrow as pa
+
+    n, wide = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * wide, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(wide, n).T).view(dtype).ravel()
+
+
+class _Run:
+    """Counts of n-grams by key, as one sorted run and what came since; merged when that outgrows the run."""
+
+    def __init__(self, least: int):
+        self.least, self.size, self.waiting = least, 0, 0
+        self.parts: list[tuple] = []
+
+    def add(self, key: np.ndarray, count: np.ndarray, lower: np.ndarray | None) -> None:
+        self.parts.append((key, count, lower))
+        self.waiting += len(key)
+        if self.waiting > max(self.least, self.size):
+            self.merged()
+
+    def merged(self) -> tuple:
+        if len(self.parts) > 1:
+            key, count = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+            lower = None if self.parts[0][2] is None else np.concatenate([p[2] for p in self.parts])
+            self.parts = []
+            order = np.argsort(key)
+            key, count = key[order], count[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+            count = np.add.reduceat(count, first) if len(key) else count
+            self.parts = [(key[first], count, None if lower is None else lower[order][first])]
+        self.waiting, self.size = 0, len(self.parts[0][0]) if self.parts else 0
+        return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), None)
 
 
 def _add_level(docs: DataFrame, spark: SparkSession, trie: Trie, ngram_min: int) -> Trie:
     """One level more: counts (parent node, word), prunes, and writes the shards."""
     import pyarrow as pa
+    from pyarrow import fs
 
-    depth, schema = len(trie.levels), arrow_schema("parent long, word long, count long, lower float")
+    depth, below, vocabulary = len(trie.levels), trie.levels[-1], trie.words + 1
+    above = below.shards[-1][2] + below.shards[-1][3] if below.shards else 0  # nodes that may be parents
+    if above * vocabulary >= 2**64:
+        raise OverflowError(f"{above} contexts of {vocabulary} words do not fit in 64-bit keys")
+    ranges = min(MOST_RANGES, max(partitions(spark), trie.tokens // RANGE_TOKENS))
+    each = max(1, -(-above // ranges))  # parents of a range
+    ddl = "range int, keys binary, counts binary, lower binary"
+    schema = arrow_schema(ddl)
 
-    def run(batches):
+    def send(run: _Run):
+        key, count, lower = run.merged()
+        edges = np.searchsorted(key, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(each * vocabulary)) if each * vocabulary * ranges < 2**64 else np.searchsorted(key // np.uint64(vocabulary) // np.uint64(each), np.arange(ranges + 1, dtype=np.uint64))
+        for k in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[k], edges[k + 1])
+            blocks = [_packed(np.r_[key[own][:1], np.diff(key[own])]), _packed(count[own]), None if lower is None else _packed(lower[own])]
+            yield pa.RecordBatch.from_arrays([pa.array([k], "int32"), *[pa.array([b], "binary") for b in blocks]], schema=schema)
+
+    def count_up(batches):
+        run = _Run(RUN_NGRAMS)
         for _, _, words, sizes in token_blocks(batches, 0):
             begins = np.cumsum([0, *sizes[:-1]])
             word, count = trie.look_up(words)
-            prob, node = trie.walk(word, count, begins, depth)
-            parent = np.r_[-1, (np.where(count >= trie.context_min, word, -1) if depth == 1 else node)[:-1]]
+            frequent = (word >= 0) & (count >= trie.context_min)
+            prob, node = trie.walk(word, count, begins, depth) if depth > 1 else (None, np.where(frequent, word, -1))
+            parent = np.r_[-1, node[:-1]]
             parent[begins] = -1
-            at = np.flatnonzero((parent >= 0) & (word >= 0) & (count >= trie.context_min))
-            order = at[np.lexsort((word[at], parent[at]))]
-            p, w = parent[order], word[order]
-            first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (w[1:] != w[:-1])]) if len(order) else order
-            n = np.diff(np.r_[first, len(order)])
-            lower = prob[order[first]].astype(np.float32)
-            for k in range(0, len(first), 100_000):
-                part = first[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(p[part]), pa.array(w[part]), pa.array(n[k : k + 100_000], "int64"), pa.array(lower[k : k + 100_000])], schema=schema)
-
-    counts = docs.select(F.col("text").cast("binary")).mapInArrow(run, "parent long, word long, count long, lower float")
-    counts = counts.groupBy("parent", "word").agg(F.sum("count").alias("count"), F.max("lower").alias("lower")).filter(F.col("count") >= ngram_min)
-    counts = materialize(counts, f"ngrams-{depth + 1}")
-    below, vocabulary = trie.levels[-1], trie.words + 1
+            at = np.flatnonzero((parent >= 0) & frequent)
+            key = parent[at].astype(np.uint64) * np.uint64(vocabulary) + word[at].astype(np.uint64)
+            if prob is None:
+                key, n = np.unique(key, return_counts=True)
+                run.add(key, n.astype(np.uint64), None)
+            else:
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                run.add(key, n.astype(np.uint64), prob[at][first].astype(np.float32))
+            if run.size + run.waiting >= RUN_NGRAMS:
+                yield from send(run)
+                run = _Run(RUN_NGRAMS)
+        yield from send(run)
+
+    folder = workspace(spark, f"trie-{depth + 1}")
+    system, where = fs.FileSystem.from_uri(folder)
+    system.create_dir(where)
+    lines = arrow_schema("first string, path string, nodes long")
 
-    def shard_of(table, path):
-        parent, word = table["parent"].to_numpy(), table["word"].to_numpy()
-        count, lower = table["count"].to_numpy().astype(float), 10.0 ** table["lower"].to_numpy().astype(float)
+    def shard_of(number: int, run: _Run):
+        key, count, lower = run.merged()
+        kept = count >= ngram_min
+        if not kept.any():
+            return
+        key, count = key[kept], count[kept]
+        parent, word = (key // np.uint64(vocabulary)).astype(np.int64), (key % np.uint64(vocabulary)).astype(np.int64)
+        lower = trie.log10_word(trie.levels[0].gather("count", word)) if lower is None else lower[kept].astype(float)
         context, rank = np.unique(parent, return_inverse=True)
         total = np.maximum(below.gather("count", context), 1)
-        kept = np.bincount(rank, weights=count - DISCOUNT)
-        back = np.clip(1 - kept / total, 1e-9, 1.0)
-        prob = np.clip((count - DISCOUNT) / total[rank] + back[rank] * lower, 1e-13, 1.0)
-        write_shard(path, {}, {"parents": EliasFano.build(context), "nodes": EliasFano.build(rank * vocabulary + word)}, {"prob": quantise(np.log10(prob)), "backoff": quantise(np.log10(back)), "count": count.astype(np.uint64)})
-
-    return Trie([*trie.levels, Level(_write_level(counts, ["parent", "word"], spark, f"trie-{depth + 1}", shard_of), vocabulary)], trie.tokens, trie.words, trie.discount)
+        back = np.clip(1 - np.bincount(rank, weights=count - DISCOUNT) / total, 1e-9, 1.0)
+        prob = np.clip((count - DISCOUNT) / total[rank] + back[rank] * 10.0**lower, 1e-13, 1.0)
+        path = f"{folder}/{number:010d}"
+        write_shard(path, {}, {"parents": EliasFano.build(context), "nodes": EliasFano.build(rank * vocabulary + word)}, {"prob": quantise(np.log10(prob)), "backoff": quantise(np.log10(back)), "count": count.astype(np.min_scalar_type(count.max()))})
+        yield pa.RecordBatch.from_arrays([pa.array([str(context[0])]), pa.array([path]), pa.array([len(key)], "int64")], schema=lines)
+
+    def merge(batches):
+        number, run = -1, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, keys, counts, lower = (c[k].as_py() for c in batch.columns)
+                if own != number:
+                    if run is not None:
+                        yield from shard_of(number, run)
+                    number, run = own, _Run(RANGE_TOKENS)
+                run.add(np.cumsum(_unpacked(keys, np.uint64), dtype=np.uint64), _unpacked(counts, np.uint64), None if lower is None else _unpacked(lower, np.float32))
+        if run is not None:
+            yield from shard_of(number, run)
+        give_back()
+
+    dealt = docs.select(F.col("text").cast("binary")).mapInArrow(count_up, ddl).repartition(partitions(spark), "range").sortWithinPartitions("range")
+    rows = sorted((int(r["first"]), r["path"], r["nodes"]) for r in dealt.mapInArrow(merge, "first string, path string, nodes long").collect())
+    shards, number = [], 0
+    for start, path, nodes in rows:
+        shards.append((start, path, nodes, number))
+        number += nodes
+    return Trie([*trie.levels, Level(shards, vocabulary)], trie.tokens, trie.words, trie.discount, ngram_min)
 
 
 def train(docs: DataFrame, order: int = ORDER, ngram_min: int = NGRAM_MIN) -> Trie:
     """Fits on the texts of all rows of ``docs``."""
     spark = docs.sparkSession
-    trie = _train_words(docs, spark)
+    trie = _train_words(docs, spark, ngram_min)
     while len(trie.levels) < order:
         trie = _add_level(docs, spark, trie, ngram_min)
     return trie

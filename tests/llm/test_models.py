@@ -95,6 +95,24 @@ def test_scores_equal_brute_force(real, empty, monkeypatch):
     assert ngram_lm.score_held_out(empty).count() == 0
 
 
+def test_rare_words_keep_their_bigrams_in_a_large_corpus(spark):
+    rows = [(k, "a " * 1_100_000, None) for k in range(4) if brute.fold(k, 7) != 2]
+    ids = [k for k in range(100, 140) if brute.fold(k, 7) != 2]
+    rows += [(k, "a " * 1_100_000, None) for k in ids[:4]] + [(ids[4], "zig zag", None), (ids[5], "zig zag", None), (ids[6], "zag zig", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score_held_out(docs, 2).collect()}
+    # three tokens each and the same words; only the first order was seen twice
+    assert got[ids[4]] > got[ids[6]] + 3
+
+
+def test_ranges_and_runs_do_not_change_the_model(real, monkeypatch):
+    one = ordered(tuple(r) for r in ngram_lm.score_held_out(real, 3).collect())
+    monkeypatch.setattr(ngram_lm, "RUN_NGRAMS", 500)
+    monkeypatch.setattr(ngram_lm, "RANGE_TOKENS", 300)
+    two = ordered(tuple(r) for r in ngram_lm.score_held_out(real, 3).collect())
+    assert [r[:5] for r in one] == [r[:5] for r in two] and np.allclose([r[-2:] for r in one], [r[-2:] for r in two])
+
+
 def test_higher_orders_score_better(real):
     mean = lambda order: ngram_lm.score_held_out(real, order).agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
     one, two, three = mean(1), mean(2), mean(3)
