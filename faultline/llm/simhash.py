@@ -292,19 +292,53 @@ def _shingle_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, ddl)
 
 
+def _passing(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets overlap by ``similarity`` or more."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    either = F.size("x") + F.size("y") - shared
+    return both.filter((either == 0) | (shared >= similarity * either)).select("a", "b")
+
+
+def _open_cells(members: DataFrame, close: DataFrame, passed: DataFrame) -> DataFrame:
+    """``table``, ``a``, ``b``, ``id``, ``root``: members of fingerprints (a = b) and of close pairs that are not one component yet.
+
+    Cells of two documents are left out: these two have been compared.
+    """
+    roots = components(passed)
+    named = materialize(members.join(roots, members["id"] == roots["node"], "left").select("table", "print", "id", F.coalesce("root", "id").alias("root")), "word-roots")
+    states = materialize(named.groupBy("table", "print").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")), "word-states")
+    within = states.filter("lo < hi and n > 2").select("table", F.col("print").alias("a"), F.col("print").alias("b"))
+    one, two = (states.select("table", F.col("print").alias(k), *[F.col(c).alias(c + k) for c in ("lo", "hi", "n")]) for k in "ab")
+    across = close.join(one, ["table", "a"]).join(two, ["table", "b"]).filter("least(loa, lob) < greatest(hia, hib) and na + nb > 2").select("table", "a", "b")
+    cells = within.unionByName(across).withColumn("print", F.explode(F.array_distinct(F.array("a", "b"))))
+    return cells.join(named, ["table", "print"]).select("table", "a", "b", "id", "root").distinct()
+
+
+def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """``id``, ``shingle``: so many of each set's rarest that two sets with the overlap share one of them."""
+    each = sets.select("id", F.size("shingles").alias("n"), F.explode(F.when(F.size("shingles") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("shingles"))).alias("shingle"))
+    ranked = each.join(each.groupBy("shingle").agg(F.count("*").alias("times")), "shingle")
+    ranked = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("all"))
+    length = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    return ranked.select("id", F.explode(F.slice("all", 1, length)).alias("s")).select("id", "s.shingle")
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = 5, tables: int = TABLES, threshold: int = THRESHOLD) -> DataFrame:
     """``a`` < ``b``: linked documents whose shingle sets overlap (intersection over union) by ``similarity`` or more.
 
     Documents with one fingerprint are compared with the smallest of them, and close
     fingerprints through their smallest documents, so a group of copies gives as many
-    pairs as it has members.  Rows without a doc_id are left out; rows that repeat one
-    are taken as one.
+    pairs as it has members.  Where that leaves documents of equal or close fingerprints
+    in different components, all pairs across these that share one of their rarest
+    shingles are compared too; no other pair can reach the overlap.  Rows without a
+    doc_id are left out; rows that repeat one are taken as one.
     """
     prints = materialize(_word_print_table(docs.filter(F.col("doc_id").isNotNull()), tables), "word-prints")
     members = prints.select("id", F.posexplode("prints").alias("table", "print"))
     nodes = materialize(members.groupBy("table", "print").agg(F.min("id").alias("first"), F.max("id").alias("last")), "word-nodes")
     inside = members.join(nodes.filter("first < last"), ["table", "print"]).select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a < b")
-    close = close_pairs(nodes.select("table", "print"), threshold)
+    close = materialize(close_pairs(nodes.select("table", "print"), threshold), "word-close")
     one = nodes.select("table", F.col("print").alias("a"), F.col("first").alias("d1"))
     two = nodes.select("table", F.col("print").alias("b"), F.col("first").alias("d2"))
     across = close.join(one, ["table", "a"]).join(two, ["table", "b"]).select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).filter("a < b")
@@ -315,10 +349,19 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
         wanted = F.broadcast(wanted)
     some = docs.join(wanted, docs["doc_id"] == wanted["wanted"], "left_semi")
     sets = materialize(_shingle_table(some, width), "shingles").dropDuplicates(["id"])
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    either = F.size("x") + F.size("y") - shared
-    return both.filter((either == 0) | (shared >= similarity * either)).select("a", "b")
+    passed = materialize(_passing(pairs, sets, similarity), "similar")
+    left = materialize(_open_cells(members.join(wanted, members["id"] == wanted["wanted"], "left_semi").distinct(), close, passed), "open-cells")
+    if left.isEmpty():
+        return passed
+    rare = materialize(_rare_shingles(sets.join(left.select("id").distinct(), "id", "left_semi"), similarity), "rare-shingles")
+    # shingles of one component only cannot link two
+    by, keyed = ["table", "a", "b", "shingle"], left.join(rare, "id")
+    mixed = keyed.groupBy(*by).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(*by)
+    keyed = keyed.join(mixed, by)
+    x, y = (keyed.select(*by, F.col("id").alias("id" + k), F.col("root").alias("root" + k)) for k in "xy")
+    more = x.join(y, by).filter("idx < idy and rootx <> rooty").select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more-candidates")
+    return passed.unionByName(_passing(more, sets, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, similarity: float | None = SIMILARITY) -> DataFrame:

@@ -88,6 +88,29 @@ def test_similar_documents(spark, docs, empty):
     assert simhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_similar_documents_behind_a_dissimilar_smaller_one(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    lines = [words[k : k + 15] for k in range(0, 300, 15)]
+    flat = lambda order: [w for k in order for w in lines[k]]
+
+    def moved(n):  # n lines, none next to another, go to the end
+        gone = [1 + 4 * k for k in range(n)]
+        return flat([k for k in range(20) if k not in gone] + gone[::-1])
+
+    mixed = rng.sample(words, 300)
+    changed = moved(1)
+    changed[150] = "changed"
+    texts = [mixed, words, moved(1), moved(2), moved(5), mixed[::-1], changed]  # one bag of words but for the last
+    sets = [{tuple(t[k : k + 5]) for k in range(296)} for t in texts]
+    near = {(a, b) for b in range(7) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert (1, 2) in near and (1, 4) not in near and (3, 4) in near and not any(a in (0, 5) for a, _ in near)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {tuple(r) for r in simhash.similar_documents(df).collect()}
+    assert got <= near and {(a, b) for a, b in near if b < 6} <= got
+    assert simhash.drop_near_duplicates(df.filter("doc_id < 6")).count() == 3
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(5, 5), (7, 7)]
     random.Random(1).shuffle(links)
