@@ -1,83 +1,129 @@
-"""Exact deduplication over an extendible-hash index kept in shared files.
-
-1. Every row gives an index entry: 64-bit hash, length and SHA-256 of its text
-   (A-Z lower-cased).  Entries are written once to the shared folder.
-2. Keys (distinct hashes) go to buckets by their lowest bits.  The directory is
-   doubled until it can tell apart all buckets that can be told apart: a bucket
-   over ``capacity`` keys splits, others keep their smaller local depth.  Owner
-   tasks write the buckets as key ranges.
-3. Keys with more than one entry are chains.  Only their texts are read again and
-   compared byte for byte (grouping by hash and text), so texts that share a
-   hash become separate links of a chain.
-4. Entries take the verdict of their chain; all others stand alone.
-
-Copies are aggregated before every shuffle, and the last join splits skewed
-partitions, so a text that a third of all rows hold costs no task more than its
-share.  DataFrame operations only.
+"""Exact deduplication through an extendible-hash index kept in shared files.
+
+1. Every row gives an entry: the lowest ``HASH_BITS`` bits of a 64-bit hash (its key) and
+   the SHA-256 of its text (A-Z lower-cased).  Entries are written once to the shared folder
+   and summed by key, so copies are one key before anything is dealt out.
+2. The directory starts at the depth that the number of keys asks for at least.  While a
+   bucket holds more than ``capacity`` keys the directory doubles: the keys of overfull
+   buckets, and no others, are dealt by one bit more.  A bucket that fits keeps its local
+   depth, and all slots that end in its bits point to it.
+3. Keys are placed through the directory, and owner tasks write the pages, each a range of
+   (bucket, key).  A key with one entry is a chain of one link.  For a key with more the
+   texts are read again and probe the pages for their bucket; owners chain them by bytes,
+   so texts that share a hash become separate links.  A page row is a link: its key, digest,
+   the doc_id that stays and how many entries it has.
+4. Every entry probes the directory for its bucket and the bucket's page for its link, and
+   takes doc_id and size from there.  There is no other way to a verdict.
+
+Copies are aggregated before every shuffle, and the probing joins let Spark split skewed
+partitions, so a text that a third of all rows hold costs no task more than its share.
+DataFrame operations only.
 
 Defined results: a null text counts as empty; a null doc_id is smaller than any
 other; rows that repeat both doc_id and text are one document and share its
-verdict; an empty table gives an empty table; extra columns are ignored.
+verdict; an empty table gives an empty table; extra columns are ignored, or kept
+as they are by ``drop_exact_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import lower_ascii, materialize, text_or_empty
 
 BUCKET_CAPACITY = 4096
-#: Chains (24 bytes of key each, and their texts' digests) are broadcast up to this many, else joined by shuffle.
-BROADCAST_KEYS = 200_000
-#: Fine slots for each bucket that the key count alone asks for.
-FINE_BITS = 3
+HASH_BITS = 62
+#: Directory slots (24 bytes each) or links (about 150 bytes each) that go to every task; more are joined by shuffle.
+BROADCAST_SLOTS, BROADCAST_LINKS = 100_000, 20_000
+#: Ids to drop (a long and a digest each) that go to every task.
+BROADCAST_KEYS = 100_000
 
 
-def entries_of(docs: DataFrame) -> DataFrame:
-    """doc_id, key (64-bit hash), n_bytes, text_sha256 of the normalised text."""
-    normal = docs.select("doc_id", lower_ascii(text_or_empty("text")).alias("normal"))
-    return normal.select("doc_id", F.xxhash64("normal").alias("key"), F.octet_length("normal").alias("n_bytes"), F.sha2(F.col("normal").cast("binary"), 256).alias("text_sha256"))
+def _low(key: Column, bits: int) -> Column:
+    return key.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def directory_of(keys: DataFrame, total: int, capacity: int = BUCKET_CAPACITY) -> tuple[DataFrame, int]:
-    """(slot, local_depth) rows and the global depth.
+def _key(normal: Column, hash_bits: int) -> Column:
+    return _low(F.xxhash64(normal), hash_bits)
 
-    Doubling the directory from depth d to d + 1 sends a key to the half that its
-    next bit names, so the keys below a bucket at any depth are sums over slots at
-    the finest; a slot's local depth is the first at which its bucket is not overfull.
-    """
-    depth = min(30, max(0, (max(1, -(-total // capacity)) - 1).bit_length() + FINE_BITS))
-    slots = keys.groupBy(F.col("key").bitwiseAND(F.lit((1 << depth) - 1)).alias("slot")).agg(F.count("*").alias("n"))
-    levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
-    levels = levels.withColumn("prefix", F.expr("slot & (shiftleft(1L, depth) - 1L)"))
-    buckets = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("below"))
-    fitting = levels.join(buckets, ["depth", "prefix"]).filter((F.col("below") <= capacity) | (F.col("depth") == depth))
-    return fitting.groupBy("slot").agg(F.min("depth").alias("local_depth")), depth
+
+def _bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df`` as a broadcast side if it has so few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def index_of(entries: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
-    """The index pages: key, bucket, local_depth, copies; written by owners of key ranges."""
-    keys = materialize(entries.groupBy("key").agg(F.count("*").alias("copies")), "index-keys")
-    directory, depth = directory_of(keys, keys.count(), capacity)
-    placed = keys.withColumn("slot", F.col("key").bitwiseAND(F.lit((1 << depth) - 1))).join(directory, "slot")
-    placed = placed.withColumn("bucket", F.expr("slot & (shiftleft(1L, local_depth) - 1L)")).drop("slot")
-    return materialize(placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index-pages")
+def entries_of(docs: DataFrame, hash_bits: int = HASH_BITS) -> DataFrame:
+    """doc_id, key (low bits of a 64-bit hash), text_sha256 of the normalised text."""
+    normal = docs.select("doc_id", lower_ascii(text_or_empty("text")).alias("normal"))
+    return normal.select("doc_id", _key(F.col("normal"), hash_bits).alias("key"), F.sha2(F.col("normal").cast("binary"), 256).alias("text_sha256"))
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = BUCKET_CAPACITY, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    entries = materialize(entries_of(docs), "index-entries")
-    chains = index_of(entries, capacity).filter("copies > 1").select("key")
-    small = chains.count() <= broadcast_keys
-    known = lambda df: F.broadcast(df) if small else df
+def directory_of(keys: DataFrame, total: int, capacity: int = BUCKET_CAPACITY, hash_bits: int = HASH_BITS) -> tuple[DataFrame, int]:
+    """(slot, bucket, local_depth) rows and the global depth, by doubling while a bucket is overfull.
 
-    texts = docs.select("doc_id", lower_ascii(text_or_empty("text")).alias("normal")).withColumn("key", F.xxhash64("normal"))
-    links = texts.join(known(chains), "key", "left_semi").groupBy("key", "normal").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    links = materialize(links.select("key", F.sha2(F.col("normal").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size").filter("group_size > 1"), "index-chains")
-    # links are at most as many as entries in chains: at least two entries each
-    found = entries.join(known(links), ["key", "text_sha256"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id").eqNullSafe(keep), F.lit(False)).alias("kept"), "text_sha256")
+    A bucket's number is its bits below a leading one, so numbers differ at every depth.
+    """
+    depth = min(hash_bits, max(0, (total // max(1, capacity)).bit_length() - 1))
+    counted = materialize(keys.groupBy(_low(F.col("key"), depth).alias("prefix")).agg(F.count("*").alias("n")), "directory")
+    buckets = counted.filter(F.col("n") <= capacity).select("prefix", F.lit(depth).alias("local_depth"))
+    overfull = counted.filter(F.col("n") > capacity).select("prefix")
+    while depth < hash_bits and not overfull.isEmpty():
+        split = keys.withColumn("prefix", _low(F.col("key"), depth)).join(_bounded(overfull, BROADCAST_SLOTS), "prefix", "left_semi")
+        depth += 1
+        counted = materialize(split.groupBy(_low(F.col("key"), depth).alias("prefix")).agg(F.count("*").alias("n")), "directory")
+        buckets = buckets.unionByName(counted.filter(F.col("n") <= capacity).select("prefix", F.lit(depth).alias("local_depth")))
+        overfull = counted.filter(F.col("n") > capacity).select("prefix")
+    # out of bits: what is still overfull stays so, and its owner chains more keys
+    buckets = buckets.unionByName(overfull.select("prefix", F.lit(depth).alias("local_depth")))
+    # a bucket of local depth l owns every slot that ends in its l bits
+    upper = F.explode(F.expr(f"sequence(0L, shiftleft(1L, {depth} - local_depth) - 1L)"))
+    slots = buckets.select("prefix", "local_depth", upper.alias("upper"))
+    return slots.select(F.expr("prefix + shiftleft(upper, local_depth)").alias("slot"), F.expr("prefix + shiftleft(1L, local_depth)").alias("bucket"), "local_depth"), depth
+
+
+class Index:
+    """Directory and pages of an extendible-hash index."""
+
+    def __init__(self, directory: DataFrame, depth: int, pages: DataFrame):
+        self.directory, self.depth, self.pages = directory, depth, pages
+
+    def locate(self, rows: DataFrame) -> DataFrame:
+        """Adds ``bucket`` to rows that have a ``key``."""
+        return rows.withColumn("slot", _low(F.col("key"), self.depth)).join(_bounded(self.directory, BROADCAST_SLOTS), "slot").drop("slot", "local_depth")
+
+    def probe(self, rows: DataFrame, most: int = BROADCAST_LINKS) -> DataFrame:
+        """Rows with ``key`` and ``text_sha256`` and their link's ``keep_id`` and ``group_size``."""
+        links = self.pages.select("bucket", "key", "text_sha256", "keep_id", "group_size")
+        return self.locate(rows).join(_bounded(links, most), ["bucket", "key", "text_sha256"])
+
+
+def index_of(docs: DataFrame, entries: DataFrame, capacity: int = BUCKET_CAPACITY, hash_bits: int = HASH_BITS) -> Index:
+    """Builds directory and pages; a page row: bucket, key, text_sha256, keep_id, group_size."""
+    keys = entries.groupBy("key").agg(F.count("*").alias("copies"), F.max("doc_id").alias("keep_id"), F.max("text_sha256").alias("text_sha256"))
+    keys = materialize(keys, "index-keys")
+    directory, depth = directory_of(keys, keys.count(), capacity, hash_bits)
+    index = Index(materialize(directory, "index-directory"), depth, keys)
+    placed = materialize(index.locate(keys), "index-placed")
+    alone = placed.filter("copies = 1").select("bucket", "key", "text_sha256", "keep_id", F.lit(1).cast("long").alias("group_size"))
+    # owners chain the texts of a key that several entries share, byte for byte
+    chained = _bounded(placed.filter("copies > 1").select("bucket", "key"), BROADCAST_SLOTS)
+    texts = docs.select("doc_id", lower_ascii(text_or_empty("text")).alias("normal")).withColumn("key", _key(F.col("normal"), hash_bits))
+    links = index.locate(texts).join(chained, ["bucket", "key"], "left_semi").groupBy("bucket", "key", "normal").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    links = links.select("bucket", "key", F.sha2(F.col("normal").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
+    pages = alone.unionByName(links).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+    index.pages = materialize(pages, "index-pages")
+    return index
+
+
+def exact_duplicates(docs: DataFrame, capacity: int = BUCKET_CAPACITY, hash_bits: int = HASH_BITS, broadcast_links: int = BROADCAST_LINKS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
+    entries = materialize(entries_of(docs, hash_bits), "index-entries")
+    found = index_of(docs, entries, capacity, hash_bits).probe(entries, broadcast_links)
+    # a lone row without a doc_id stays; in a group an id is larger than none
+    kept = F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False))
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -87,13 +133,12 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     doc_id in place; rows repeating an id are told apart by their text's digest.
     """
     verdicts = exact_duplicates(docs)
-    digest = F.sha2(lower_ascii(text_or_empty("text")).cast("binary"), 256)
-    gone = materialize(verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_digest")), "exact-gone")
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    left = docs.withColumn("__digest", digest)
-    left = left.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest")), "left_anti")
+    own, gone_id, gone_digest = (f"{uuid.uuid4().hex}_{n}" for n in ("digest", "id", "digest"))  # no column of docs is named so
+    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_digest))
+    gone = _bounded(materialize(gone, "exact-gone"), BROADCAST_KEYS)
+    left = docs.withColumn(own, F.sha2(lower_ascii(text_or_empty("text")).cast("binary"), 256))
+    left = left.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_digest)), "left_anti")
     repeats = verdicts.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if not repeats.isEmpty():
-        left = left.dropDuplicates(["doc_id", "__digest"])
-    return left.drop("__digest")
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)

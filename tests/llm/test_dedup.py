@@ -12,9 +12,9 @@ from faultline.llm.components import components
 
 def test_exact_equals_brute_force(docs, pairs, empty):
     want = ordered(brute.exact(pairs))
-    # a tiny capacity doubles the directory many times; no broadcast takes the shuffle joins
-    for capacity, keys in ((4096, 10), (1, 0)):
-        got = exact_dedup.exact_duplicates(docs, capacity, keys).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    # a tiny capacity doubles the directory many times, few hash bits make texts collide in chains, no broadcast takes the shuffle join
+    for capacity, bits, links in ((4096, 62, 20_000), (1, 62, 0), (2, 2, 0), (4, 0, 20_000)):
+        got = exact_dedup.exact_duplicates(docs, capacity, bits, links).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
         assert ordered(got) == want
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
@@ -22,13 +22,33 @@ def test_exact_equals_brute_force(docs, pairs, empty):
 def test_directory_splits_only_overfull_buckets(spark):
     keys = spark.createDataFrame([(8 * k,) for k in range(40)] + [(1,)], "key long")
     directory, depth = exact_dedup.directory_of(keys, 41, 4)
-    rows = {r["slot"]: r["local_depth"] for r in directory.collect()}
-    assert rows[1] < depth and all(rows[s] > 3 for s in rows if s % 8 == 0)
+    rows = {r["slot"]: r for r in directory.collect()}
+    held = {}
+    for k in [8 * k for k in range(40)] + [1]:
+        held.setdefault(rows[k & ((1 << depth) - 1)]["bucket"], []).append(k)
+    assert max(map(len, held.values())) <= 4 and rows[1]["local_depth"] == 3 < depth
+    assert len({r["bucket"] for r in rows.values() if r["local_depth"] == 3}) < sum(r["local_depth"] == 3 for r in rows.values())
+
+
+def test_verdicts_come_from_the_pages(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
+    entries = exact_dedup.entries_of(docs)
+    index = exact_dedup.index_of(docs, entries)
+    assert ordered(index.probe(entries).select("doc_id", "keep_id", "group_size").collect()) == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]
+    index.pages = index.pages.limit(0)
+    assert index.probe(entries).count() == 0
+
+
+def test_hot_text_is_one_link_before_the_shuffle(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'Hot', concat('t', id)) AS text")
+    found = exact_dedup.exact_duplicates(docs, 64)
+    assert found.filter("group_size = 1000 and keep_id = 2997").count() == 1000
 
 
 def test_dropping_exact_copies_keeps_columns_and_one_row(docs, pairs, empty):
     left = exact_dedup.drop_exact_duplicates(docs)
     assert left.columns == docs.columns
+    assert "__digest" in exact_dedup.drop_exact_duplicates(docs.selectExpr("*", "1 AS __digest")).columns
     texts = [(r["text"] or "").translate(brute.UPPER) for r in left.collect()]
     assert sorted(texts) == sorted({(t or "").translate(brute.UPPER) for _, t in pairs})
     assert exact_dedup.drop_exact_duplicates(empty).count() == 0
