@@ -1,10 +1,15 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
-Training counts words, then n-grams level by level.  A level's nodes are keyed by
-(parent node, word).  Counting tasks merge their n-grams into sorted runs and send each
-range of that key as one block of compressed differences; the owner of a range merges
-the blocks, prunes and writes one shard file to the shared folder.  Nothing is gathered
-on the driver but a line for each shard.  A shard holds
+Training counts words, numbers them in order of their hash, and writes every text once as
+word numbers in compressed blocks (the encoded corpus), which all later passes read.
+N-grams are then counted level by level.  A node is keyed by (parent node, word).  Counting
+tasks merge their n-grams into sorted runs and send each range of that key as one block of
+compressed differences.  Ranges are cut at equal shares of the parents' counts, within a
+parent if need be, so the successors of a very frequent context are dealt to several owners.
+The owner of a range merges the blocks, prunes, and keeps the result with the discounted
+mass of the two contexts that may go on in a neighbouring range; a last pass adds these up
+and writes one shard file for each range to the shared folder.  Nothing is gathered on the
+driver but a line for each range.  A shard holds
 
 * ``parents``: the parent nodes that have successors, a monotone sequence in
   Elias-Fano code;
@@ -21,6 +26,10 @@ words, so probabilities over the vocabulary and that class sum to one.  Orders
 above one cover all n-grams seen ``NGRAM_MIN`` times or more, at every size of
 corpus; what is pruned goes to the back-off weight.  Words are known by a 64-bit hash.
 
+The shared folder is written and read through Arrow's file systems (local or mounted
+folders, HDFS, S3, GCS); where it cannot be mapped, a worker keeps a private, unlinked copy
+of the shards that it touches.
+
 Defined results: a null text is empty, one end token; with nothing to learn from
 all tokens are unknown; a null doc_id is in no fold but the training rows' (its
 fold is null, so it is not held out); repeated rows count each; an empty table
@@ -34,27 +43,33 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import arrow_schema, fold_of, give_back, local_temp, materialize, partitions, workspace
 
 FOLDS, HELD_OUT = 7, 2
-ORDER = 2
-#: No word is left out of the higher orders for a small share of all tokens.
-CONTEXT_SHARE = 0.0
+ORDER = 3
 #: N-grams seen less often are pruned; so words seen less often are in none that stays.
 NGRAM_MIN = 2
 DISCOUNT = 0.75
-#: Tokens of one block of texts that is looked up at once.
-BLOCK_TOKENS = 1_000_000
+#: Tokens that are looked up at once, and tokens of a row of the encoded corpus (a longer text is a row of its own).
+BLOCK_TOKENS, ROW_TOKENS = 1_000_000, 65_536
 #: Distinct n-grams that a counting task merges before it sends them on.
 RUN_NGRAMS = 3_000_000
 #: Tokens for each range of a level's keys, and the most ranges of a level.
-RANGE_TOKENS, MOST_RANGES = 1_000_000, 2048
+RANGE_TOKENS, MOST_RANGES = 1_000_000, 1 << 16
 #: Quantisation: log10 from -13 to 0 in 16 bits.
 STEP = 13 / 65535
 
 
+def _filesystem(uri: str):
+    """Arrow's file system and the path in it; Hadoop's names for S3 are known too."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else uri)
+
+
 class EliasFano:
     """A sorted sequence of unsigned 64-bit numbers: low bits packed, high bits in unary.
 
@@ -158,8 +173,6 @@ def write_shard(path: str, meta: dict, sequences: dict[str, EliasFano], arrays:
     """One file: a JSON header, then the arrays at multiples of 64 bytes.  Renamed into place, so retries are safe."""
     import uuid
 
-    from pyarrow import fs
-
     for name, s in sequences.items():
         meta[name] = {"count": s.count, "base": str(s.base), "low_bits": s.low_bits}
         arrays |= {f"{name}.lows": s.lows, f"{name}.highs": s.highs, f"{name}.zeros": s.zeros}
@@ -169,7 +182,7 @@ def write_shard(path: str, meta: dict, sequences: dict[str, EliasFano], arrays:
         at += -(-a.nbytes // 64) * 64
     head = json.dumps(meta | {"layout": layout}).encode()
     head += b" " * (-(len(head) + 8) % 64)
-    system, where = fs.FileSystem.from_uri(path)
+    system, where = _filesystem(path)
     part = f"{where}.{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
         out.write(len(head).to_bytes(8, "little") + head)
@@ -194,7 +207,7 @@ def _private_copy(system, where: str) -> np.ndarray:
 def _mapped(path: str) -> tuple[dict, np.ndarray]:
     from pyarrow import fs
 
-    system, where = fs.FileSystem.from_uri(path)
+    system, where = _filesystem(path)
     if not isinstance(system, fs.LocalFileSystem):  # a shared store that cannot be mapped: a private copy, unlinked once open
         data = _private_copy(system, where)
     else:
@@ -214,82 +227,72 @@ class Shard:
 
 
 class Level:
-    """All shards of a level.  ``shards``: (first key, path, nodes, first node number) in order of key."""
+    """All shards of a level.  ``shards``: (first key, path, nodes, first node number, sum of counts) in order of key."""
 
     def __init__(self, shards: list[tuple], words: int):
         self.shards, self.words = shards, words
-        self.firsts = [s[0] for s in shards]
+        self.firsts = np.array([s[0] for s in shards], dtype=np.uint64)
         self.numbers = np.array([s[3] for s in shards], dtype=np.int64)
 
+    @property
+    def nodes(self) -> int:
+        return self.shards[-1][2] + self.shards[-1][3] if self.shards else 0
+
     def gather(self, name: str, nodes: np.ndarray) -> np.ndarray:
-        """Values of an array by node number."""
+        """Values of an array by sorted node number."""
         out = np.zeros(len(nodes), dtype=np.float64)
-        owner = np.searchsorted(self.numbers, nodes, side="right") - 1
-        for k in np.unique(owner):
-            own = owner == k
+        edges = np.searchsorted(nodes, [*self.numbers, self.nodes])
+        for k in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[k], edges[k + 1])
             out[own] = Shard(self.shards[k][1]).arrays[name][nodes[own] - self.numbers[k]]
         return out
 
-    def _spread(self, owner: np.ndarray, look) -> np.ndarray:
-        """Node numbers by shard; queries are sorted, so each shard's are neighbours."""
-        out = np.full(len(owner), -1, dtype=np.int64)
-        edges = np.searchsorted(owner, np.arange(len(self.shards) + 1))
-        for k, (a, b) in enumerate(zip(edges, edges[1:])):
-            if a < b:
-                found = look(Shard(self.shards[k][1]), slice(a, b))
-                out[a:b] = np.where(found >= 0, found + self.numbers[k], -1)
+    def _spread(self, keys: np.ndarray, look) -> np.ndarray:
+        """Node numbers by shard; keys are sorted, so each shard's are neighbours."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        edges = np.r_[0, np.searchsorted(keys, self.firsts[1:]), len(keys)] if self.shards else np.zeros(1, int)
+        for k in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[k], edges[k + 1])
+            found = look(Shard(self.shards[k][1]), own)
+            out[own] = np.where(found >= 0, found + self.numbers[k], -1)
         return out
 
     def find_words(self, hashes: np.ndarray) -> np.ndarray:
         """Sorted unsigned hashes -> word numbers or -1."""
-        if not self.shards:
-            return np.full(len(hashes), -1, dtype=np.int64)
-        owner = np.maximum(np.searchsorted(np.array(self.firsts, dtype=np.uint64), hashes, side="right") - 1, 0)
-        return self._spread(owner, lambda s, part: s.sequence("nodes").find(hashes[part]))
-
-    def find(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node or -1, log10 back-off of the parent here or 0) for pairs sorted by parent, then word."""
-        back = np.zeros(len(parent))
-        if not self.shards:
-            return np.full(len(parent), -1, dtype=np.int64), back
-        # a context never spans shards, so its first parent tells the shard
-        owner = np.maximum(np.searchsorted(np.array(self.firsts, dtype=np.int64), parent, side="right") - 1, 0)
-
-        def look(s: Shard, part: slice) -> np.ndarray:
-            context, where = np.unique(parent[part], return_inverse=True)
-            rank = s.sequence("parents").find(context)
-            back[part] = np.where(rank >= 0, -STEP * s.arrays["backoff"][np.maximum(rank, 0)].astype(float), 0.0)[where]
+        return self._spread(hashes, lambda s, own: s.sequence("nodes").find(hashes[own]))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node or -1, log10 back-off of the parent or 0) for sorted keys (parent times ``words``, plus the word)."""
+        back, wide = np.zeros(len(keys)), np.uint64(self.words)
+
+        def look(s: Shard, own: slice) -> np.ndarray:
+            parent = keys[own] // wide
+            first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+            where = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(parent)]))
+            rank = s.sequence("parents").find(parent[first])
+            back[own] = np.where(rank >= 0, -STEP * s.arrays["backoff"][np.maximum(rank, 0)].astype(float) if len(s.arrays["backoff"]) else 0.0, 0.0)[where]
             rank = rank[where]
             out = np.full(len(rank), -1, dtype=np.int64)
             known = rank >= 0
-            out[known] = s.sequence("nodes").find(rank[known] * self.words + word[part][known])
+            out[known] = s.sequence("nodes").find(rank[known] * self.words + (keys[own] - parent * wide)[known].astype(np.int64))
             return out
 
-        return self._spread(owner, look), back
+        return self._spread(keys, look), back
 
 
-def token_blocks(batches, text: int):
-    """(first row, words of texts, sizes with the end token) in blocks of about BLOCK_TOKENS."""
-    for batch in batches:
-        words, sizes, first = [], [], 0
-        for row, data in enumerate(batch.column(text).to_pylist()):
-            own = (data or b"").lower().split()
-            own.append(b"")  # the end token
-            words += own
-            sizes.append(len(own))
-            if len(words) >= BLOCK_TOKENS:
-                yield batch, first, words, sizes
-                words, sizes, first = [], [], row + 1
-        if sizes:
-            yield batch, first, words, sizes
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted order, where each distinct key begins in it, which distinct key each place in it has)."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]] if len(keys) else np.zeros(0, bool)
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
 class Trie:
     """The model: its levels and the three numbers of the unigram level."""
 
     def __init__(self, levels: list[Level], tokens: int, words: int, discount: float, ngram_min: int = NGRAM_MIN):
-        self.levels, self.tokens, self.words, self.discount = levels, tokens, words, discount
-        self.context_min = ngram_min
+        self.levels, self.tokens, self.words, self.discount, self.ngram_min = levels, tokens, words, discount, ngram_min
 
     def log10_word(self, count: np.ndarray) -> np.ndarray:
         return np.log10(np.maximum(count - self.discount, 1e-9) / self.tokens)
@@ -297,8 +300,8 @@ class Trie:
     def log10_unknown(self) -> float:
         return float(np.log10(max(self.discount * self.words, 1) / max(self.tokens, 1))) if self.words else 0.0
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(word number or -1, count) of every token."""
+    def number(self, words: list[bytes]) -> np.ndarray:
+        """Word number or -1 of every token."""
         import xxhash
 
         local: dict[bytes, int] = {}
@@ -307,10 +310,18 @@ class Trie:
         order = np.argsort(hashes)
         found = np.full(len(local), -1, dtype=np.int64)
         found[order] = self.levels[0].find_words(hashes[order])
-        count = np.zeros(len(local), dtype=np.int64)
-        known = found >= 0
-        count[known] = self.levels[0].gather("count", found[known]).astype(np.int64)
-        return found[place], count[place]
+        return found[place]
+
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        """Training count of every word number (0 for -1)."""
+        order, first, which = distinct(word)
+        values = word[order][first]
+        known = values >= 0
+        count = np.zeros(len(values), dtype=np.int64)
+        count[known] = self.levels[0].gather("count", values[known]).astype(np.int64)
+        out = np.empty(len(word), dtype=np.int64)
+        out[order] = count[which]
+        return out
 
     def walk(self, word: np.ndarray, count: np.ndarray, begins: np.ndarray, depth: int):
         """Log10 probability of every token under levels 1..depth, and its node at the last (-1 if none)."""
@@ -318,57 +329,51 @@ class Trie:
         known = word >= 0
         if self.words:
             prob[known] = self.log10_word(count[known])
-        node = np.where(known & (count >= self.context_min), word, -1)
-        usable = node >= 0
+        usable = known & (count >= self.ngram_min)
+        node = np.where(usable, word, -1)
+        # a word outside the higher orders still pays the back-off
+        successor = np.where(usable, word, self.words).astype(np.uint64)
         for level in self.levels[1:depth]:
-            parent = np.r_[-1, node[:-1]]
-            parent[begins] = -1
+            parent = parents_of(node, begins)
             node = np.full(len(word), -1, dtype=np.int64)
             at = np.flatnonzero(parent >= 0)
-            # distinct (context, word) pairs in order; a word outside the vocabulary still pays the back-off
-            w = np.where(usable[at], word[at], self.words)
-            order = np.lexsort((w, parent[at]))
-            p, w = parent[at][order], w[order]
-            new = np.r_[True, (p[1:] != p[:-1]) | (w[1:] != w[:-1])] if len(p) else np.zeros(0, bool)
-            which = np.cumsum(new) - 1
-            found, back = level.find(p[new], w[new])
+            keys = parent[at].astype(np.uint64) * np.uint64(level.words) + successor[at]
+            order, first, which = distinct(keys)
+            found, back = level.find(keys[order][first])
             hit = found >= 0
             stored = np.zeros(len(found))
-            stored[hit] = -STEP * level.gather("prob", found[hit])
+            by_number = np.flatnonzero(hit)  # keys are sorted, so numbers are
+            stored[by_number] = -STEP * level.gather("prob", found[by_number])
             at = at[order]
             prob[at] = np.where(hit[which], stored[which], prob[at] + back[which])
             node[at] = found[which]
         return prob, node
 
 
-def _write_level(counts: DataFrame, keys: list[str], spark: SparkSession, label: str, shard_of) -> list[tuple]:
-    """Deals ``counts`` out by ranges of the first key; ``shard_of(table, path)`` writes one shard."""
-    import pyarrow as pa
+def parents_of(node: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The node before each token; none at the begin of a text."""
+    parent = np.r_[-1, node[:-1]]
+    parent[begins] = -1
+    return parent
 
-    folder, first = workspace(spark, label), keys[0]
-    schema = arrow_schema("first string, path string, nodes long")
-    from pyarrow import fs
 
-    system, where = fs.FileSystem.from_uri(folder)
-    system.create_dir(where)
+# ---- words and the encoded corpus ----
 
-    def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        start = table[first][0].as_py()
-        path = f"{folder}/{start + 2**63:020d}"
-        shard_of(table, path)
-        yield pa.RecordBatch.from_arrays([pa.array([str(start)]), pa.array([path]), pa.array([table.num_rows], "int64")], schema=schema)
-
-    dealt = counts.repartitionByRange(partitions(spark), first).sortWithinPartitions(*keys)
-    rows = sorted((int(r["first"]), r["path"], r["nodes"]) for r in dealt.mapInArrow(run, "first string, path string, nodes long").collect())
-    out, number = [], 0
-    for start, path, nodes in rows:
-        out.append((start, path, nodes, number))
-        number += nodes
-    return out
+
+def token_blocks(batches, text: int, most: int):
+    """(batch, first row, words of texts, sizes with the end token) in blocks of about ``most`` tokens."""
+    for batch in batches:
+        words, sizes, first = [], [], 0
+        for row, data in enumerate(batch.column(text).to_pylist()):
+            own = (data or b"").lower().split()
+            own.append(b"")  # the end token
+            words += own
+            sizes.append(len(own))
+            if len(words) >= most:
+                yield batch, first, words, sizes
+                words, sizes, first = [], [], row + 1
+        if sizes:
+            yield batch, first, words, sizes
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -391,28 +396,105 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             for k in range(0, len(words), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(flipped[k : k + 100_000]), pa.array(counts[k : k + 100_000])], schema=schema)
 
-        for _, _, words, _ in token_blocks(batches, 0):
-            seen.update(words)
-            if len(seen) > 500_000:
-                yield from flush()
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                seen.update((data or b"").lower().split())
+                seen[b""] += 1  # the end token
+                if len(seen) > 500_000:
+                    yield from flush()
         if seen:
             yield from flush()
+        give_back()
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(run, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
 
 
 def _train_words(docs: DataFrame, spark: SparkSession, ngram_min: int) -> Trie:
+    """The word level: words are numbered in order of their hash, shards are ranges of it."""
+    import pyarrow as pa
+
     counts = materialize(_word_counts(docs), "word-counts")
     row = counts.agg(F.sum("count"), F.count("*"), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
     tokens, words, once, twice = row[0] or 0, row[1], row[2], row[3]
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+    folder = _new_folder(spark, "trie-1")
+    lines = arrow_schema("first string, path string, nodes long, mass long")
 
-    def shard_of(table, path):
+    def write(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
         hashes = table["hash"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-        write_shard(path, {}, {"nodes": EliasFano.build(hashes)}, {"count": table["count"].to_numpy().astype(np.uint64)})
+        count = table["count"].to_numpy().astype(np.uint64)
+        path = f"{folder}/{int(hashes[0]):020d}"
+        write_shard(path, {}, {"nodes": EliasFano.build(hashes)}, {"count": count})
+        yield pa.RecordBatch.from_arrays([pa.array([str(hashes[0])]), pa.array([path]), pa.array([len(count)], "int64"), pa.array([int(count.sum())], "int64")], schema=lines)
 
-    shards = _write_level(counts, ["hash"], spark, "trie-1", shard_of)
-    return Trie([Level([(s + 2**63, *rest) for s, *rest in shards], words)], tokens, words, discount, ngram_min)
+    dealt = counts.repartitionByRange(partitions(spark), "hash").sortWithinPartitions("hash")
+    rows = sorted((int(r["first"]), r["path"], r["nodes"], r["mass"]) for r in dealt.mapInArrow(write, "first string, path string, nodes long, mass long").collect())
+    return Trie([Level(_numbered(rows), words)], tokens, words, discount, ngram_min)
+
+
+def _new_folder(spark: SparkSession, label: str) -> str:
+    folder = workspace(spark, label)
+    system, where = _filesystem(folder)
+    system.create_dir(where)
+    return folder
+
+
+def _numbered(rows: list[tuple]) -> list[tuple]:
+    """(first key, path, nodes, mass) -> with the number of each shard's first node."""
+    shards, number = [], 0
+    for start, path, nodes, mass in rows:
+        shards.append((start, path, nodes, number, mass))
+        number += nodes
+    return shards
+
+
+def encode(docs: DataFrame, trie: Trie, learned: Column) -> DataFrame:
+    """The encoded corpus: rows of many texts with their ids, whether they are learned from, sizes and word numbers."""
+    import pyarrow as pa
+
+    ddl = "ids array<long>, learned array<boolean>, sizes array<long>, words binary"
+    schema = arrow_schema(ddl)
+    wide = np.int32 if trie.words < 2**31 else np.int64
+
+    def run(batches):
+        for batch, first, words, sizes in token_blocks(batches, 2, ROW_TOKENS):
+            own = [batch.column(k).slice(first, len(sizes)).to_pylist() for k in (0, 1)]
+            numbers = _packed(trie.number(words).astype(wide))
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip([*own, sizes, numbers], schema)], schema=schema)
+        give_back()
+
+    texts = docs.select(F.col("doc_id").cast("long"), learned.alias("learned"), F.col("text").cast("binary"))
+    return materialize(texts.mapInArrow(run, ddl), "encoded")
+
+
+def encoded_blocks(batches, trie: Trie, learned_only: bool):
+    """(ids, sizes, word numbers) of about BLOCK_TOKENS tokens."""
+    wide = np.int32 if trie.words < 2**31 else np.int64
+    ids, sizes, words, held = [], [], [], 0
+    for batch in batches:
+        for k in range(batch.num_rows):
+            size = batch.column(2)[k].values.to_numpy()
+            word = _unpacked(batch.column(3)[k].as_py(), wide).astype(np.int64)
+            own = batch.column(0)[k].values
+            if learned_only:
+                keep = batch.column(1)[k].values.to_numpy(zero_copy_only=False).astype(bool)
+                size, word = size[keep], word[np.repeat(keep, size)]
+            ids.append(own)
+            sizes.append(size)
+            words.append(word)
+            held += len(word)
+            if held >= BLOCK_TOKENS:
+                yield ids, np.concatenate(sizes), np.concatenate(words)
+                ids, sizes, words, held = [], [], [], 0
+    if held:
+        yield ids, np.concatenate(sizes), np.concatenate(words)
+
+
+# ---- levels above the words ----
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -449,32 +531,60 @@ class _Run:
             key, count = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
             lower = None if self.parts[0][2] is None else np.concatenate([p[2] for p in self.parts])
             self.parts = []
-            order = np.argsort(key)
-            key, count = key[order], count[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
-            count = np.add.reduceat(count, first) if len(key) else count
-            self.parts = [(key[first], count, None if lower is None else lower[order][first])]
+            order, first, _ = distinct(key)
+            count = np.add.reduceat(count[order], first) if len(key) else count
+            order = order[first]
+            self.parts = [(key[order], count, None if lower is None else lower[order])]
         self.waiting, self.size = 0, len(self.parts[0][0]) if self.parts else 0
         return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), None)
 
 
-def _add_level(docs: DataFrame, spark: SparkSession, trie: Trie, ngram_min: int) -> Trie:
+def _cuts(spark: SparkSession, below: Level, vocabulary: int, ranges: int) -> np.ndarray:
+    """First key of each range: equal shares of the parents' counts; a parent with more than a share is cut by word."""
+    import pyarrow as pa
+
+    mass = np.cumsum([0, *(s[4] for s in below.shards)])
+    wanted = mass[-1] * np.arange(1, ranges) / ranges
+    schema = arrow_schema("place int, key string")
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                own = np.flatnonzero((wanted >= mass[k]) & (wanted < mass[k + 1]))
+                if not len(own):
+                    continue
+                count = Shard(below.shards[k][1]).arrays["count"].astype(np.float64)
+                upto = np.cumsum(count)
+                at = np.minimum(np.searchsorted(upto, wanted[own] - mass[k], side="right"), len(count) - 1)
+                share = np.clip((wanted[own] - mass[k] - (upto[at] - count[at])) / count[at], 0, 1)
+                # a parent within its share is not cut: the range begins with it
+                share = np.where(count[at] > mass[-1] / ranges, share, 0)
+                keys = [(int(a) + below.numbers[k].item()) * vocabulary + int(f * vocabulary) for a, f in zip(at, share)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, "int32"), pa.array([str(x) for x in keys])], schema=schema)
+
+    shards = len(below.shards)
+    rows = spark.range(0, shards, 1, max(1, min(shards, partitions(spark)))).mapInArrow(run, "place int, key string").collect()
+    return np.unique(np.array([0, *(int(r["key"]) for r in rows)], dtype=np.uint64))
+
+
+def _add_level(encoded: DataFrame, spark: SparkSession, trie: Trie) -> Trie:
     """One level more: counts (parent node, word), prunes, and writes the shards."""
     import pyarrow as pa
-    from pyarrow import fs
 
     depth, below, vocabulary = len(trie.levels), trie.levels[-1], trie.words + 1
-    above = below.shards[-1][2] + below.shards[-1][3] if below.shards else 0  # nodes that may be parents
-    if above * vocabulary >= 2**64:
-        raise OverflowError(f"{above} contexts of {vocabulary} words do not fit in 64-bit keys")
-    ranges = min(MOST_RANGES, max(partitions(spark), trie.tokens // RANGE_TOKENS))
-    each = max(1, -(-above // ranges))  # parents of a range
+    if below.nodes * vocabulary >= 2**64:
+        raise OverflowError(f"{below.nodes} contexts of {vocabulary} words do not fit in 64-bit keys")
+    if not below.nodes:
+        return Trie([*trie.levels, Level([], vocabulary)], trie.tokens, trie.words, trie.discount, trie.ngram_min)
+    cuts = _cuts(spark, below, vocabulary, min(MOST_RANGES, max(partitions(spark), trie.tokens // RANGE_TOKENS)))
+    ranges, wide = len(cuts), np.uint64(vocabulary)
+    owners = min(ranges, partitions(spark))
     ddl = "range int, keys binary, counts binary, lower binary"
     schema = arrow_schema(ddl)
 
     def send(run: _Run):
         key, count, lower = run.merged()
-        edges = np.searchsorted(key, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(each * vocabulary)) if each * vocabulary * ranges < 2**64 else np.searchsorted(key // np.uint64(vocabulary) // np.uint64(each), np.arange(ranges + 1, dtype=np.uint64))
+        edges = np.r_[np.searchsorted(key, cuts), len(key)]
         for k in np.flatnonzero(np.diff(edges)):
             own = slice(edges[k], edges[k + 1])
             blocks = [_packed(np.r_[key[own][:1], np.diff(key[own])]), _packed(count[own]), None if lower is None else _packed(lower[own])]
@@ -482,46 +592,40 @@ def _add_level(docs: DataFrame, spark: SparkSession, trie: Trie, ngram_min: int)
 
     def count_up(batches):
         run = _Run(RUN_NGRAMS)
-        for _, _, words, sizes in token_blocks(batches, 0):
-            begins = np.cumsum([0, *sizes[:-1]])
-            word, count = trie.look_up(words)
-            frequent = (word >= 0) & (count >= trie.context_min)
-            prob, node = trie.walk(word, count, begins, depth) if depth > 1 else (None, np.where(frequent, word, -1))
-            parent = np.r_[-1, node[:-1]]
-            parent[begins] = -1
-            at = np.flatnonzero((parent >= 0) & frequent)
-            key = parent[at].astype(np.uint64) * np.uint64(vocabulary) + word[at].astype(np.uint64)
-            if prob is None:
-                key, n = np.unique(key, return_counts=True)
-                run.add(key, n.astype(np.uint64), None)
-            else:
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
-                run.add(key, n.astype(np.uint64), prob[at][first].astype(np.float32))
+        for _, sizes, word in encoded_blocks(batches, trie, True):
+            begins = np.cumsum(sizes) - sizes
+            count = trie.counts(word)
+            prob, node = trie.walk(word, count, begins, depth)
+            parent = parents_of(node, begins)
+            at = np.flatnonzero((parent >= 0) & (word >= 0) & (count >= trie.ngram_min))
+            key = parent[at].astype(np.uint64) * wide + word[at].astype(np.uint64)
+            order, first, _ = distinct(key)
+            times = np.diff(np.r_[first, len(key)]).astype(np.uint64)
+            order = order[first]
+            # the probability by the shorter context goes along, quantised; of words it is known from their counts
+            run.add(key[order], times, quantise(prob[at[order]]) if depth > 1 else None)
             if run.size + run.waiting >= RUN_NGRAMS:
                 yield from send(run)
                 run = _Run(RUN_NGRAMS)
         yield from send(run)
+        give_back()
 
-    folder = workspace(spark, f"trie-{depth + 1}")
-    system, where = fs.FileSystem.from_uri(folder)
-    system.create_dir(where)
-    lines = arrow_schema("first string, path string, nodes long")
+    raw, folder = _new_folder(spark, f"merged-{depth + 1}"), _new_folder(spark, f"trie-{depth + 1}")
+    edge_ddl = "range int, nodes long, mass long, first double, last double"
+    edge_schema = arrow_schema(edge_ddl)
+    #: The contexts that a range's first and last key belong to; they may go on in the neighbours.
+    first_of = (cuts // wide).astype(np.int64)
+    last_of = np.r_[((cuts[1:] - np.uint64(1)) // wide).astype(np.int64), below.nodes - 1] if ranges else first_of
 
-    def shard_of(number: int, run: _Run):
+    def keep(number: int, run: _Run):
         key, count, lower = run.merged()
-        kept = count >= ngram_min
-        if not kept.any():
-            return
+        kept = count >= trie.ngram_min
         key, count = key[kept], count[kept]
-        parent, word = (key // np.uint64(vocabulary)).astype(np.int64), (key % np.uint64(vocabulary)).astype(np.int64)
-        lower = trie.log10_word(trie.levels[0].gather("count", word)) if lower is None else lower[kept].astype(float)
-        context, rank = np.unique(parent, return_inverse=True)
-        total = np.maximum(below.gather("count", context), 1)
-        back = np.clip(1 - np.bincount(rank, weights=count - DISCOUNT) / total, 1e-9, 1.0)
-        prob = np.clip((count - DISCOUNT) / total[rank] + back[rank] * 10.0**lower, 1e-13, 1.0)
-        path = f"{folder}/{number:010d}"
-        write_shard(path, {}, {"parents": EliasFano.build(context), "nodes": EliasFano.build(rank * vocabulary + word)}, {"prob": quantise(np.log10(prob)), "backoff": quantise(np.log10(back)), "count": count.astype(np.min_scalar_type(count.max()))})
-        yield pa.RecordBatch.from_arrays([pa.array([str(context[0])]), pa.array([path]), pa.array([len(key)], "int64")], schema=lines)
+        lower = np.zeros(0, np.uint16) if lower is None else lower[kept]
+        parent = (key // wide).astype(np.int64)
+        mass = [float((count[parent == c] - DISCOUNT).sum()) for c in (first_of[number], last_of[number])]
+        write_shard(f"{raw}/{number:010d}", {}, {}, {"key": key, "count": count, "lower": lower})
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((number, len(key), int(count.sum()), *mass), edge_schema)], schema=edge_schema)
 
     def merge(batches):
         number, run = -1, None
@@ -530,53 +634,87 @@ def _add_level(docs: DataFrame, spark: SparkSession, trie: Trie, ngram_min: int)
                 own, keys, counts, lower = (c[k].as_py() for c in batch.columns)
                 if own != number:
                     if run is not None:
-                        yield from shard_of(number, run)
+                        yield from keep(number, run)
                     number, run = own, _Run(RANGE_TOKENS)
-                run.add(np.cumsum(_unpacked(keys, np.uint64), dtype=np.uint64), _unpacked(counts, np.uint64), None if lower is None else _unpacked(lower, np.float32))
+                run.add(np.cumsum(_unpacked(keys, np.uint64), dtype=np.uint64), _unpacked(counts, np.uint64), None if lower is None else _unpacked(lower, np.uint16))
         if run is not None:
-            yield from shard_of(number, run)
+            yield from keep(number, run)
         give_back()
 
-    dealt = docs.select(F.col("text").cast("binary")).mapInArrow(count_up, ddl).repartition(partitions(spark), "range").sortWithinPartitions("range")
-    rows = sorted((int(r["first"]), r["path"], r["nodes"]) for r in dealt.mapInArrow(merge, "first string, path string, nodes long").collect())
-    shards, number = [], 0
-    for start, path, nodes in rows:
-        shards.append((start, path, nodes, number))
-        number += nodes
-    return Trie([*trie.levels, Level(shards, vocabulary)], trie.tokens, trie.words, trie.discount, ngram_min)
+    counted = encoded.mapInArrow(count_up, ddl)
+    dealt = counted.repartitionById(owners, F.col("range") % owners).sortWithinPartitions("range")
+    kept = {r["range"]: r for r in dealt.mapInArrow(merge, edge_ddl).collect()}  # a line a range
 
+    # the discounted mass of contexts that several ranges share
+    shared: dict[int, float] = {}
+    for k, r in kept.items():
+        for c, m in {int(first_of[k]): r["first"], int(last_of[k]): r["last"]}.items():
+            shared[c] = shared.get(c, 0.0) + m
 
-def train(docs: DataFrame, order: int = ORDER, ngram_min: int = NGRAM_MIN) -> Trie:
-    """Fits on the texts of all rows of ``docs``."""
-    spark = docs.sparkSession
-    trie = _train_words(docs, spark, ngram_min)
+    def finish(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                arrays = Shard(f"{raw}/{k:010d}").arrays if k in kept else {}
+                key, count = arrays.get("key", np.zeros(0, np.uint64)), arrays.get("count", np.zeros(0, np.uint64)).astype(np.float64)
+                parent, word = (key // wide).astype(np.int64), (key % wide).astype(np.int64)
+                # a shared context is known in all its ranges, for its back-off
+                edges = [c for c in {int(first_of[k]), int(last_of[k])} if shared.get(c, 0.0) > 0]
+                context = np.unique(np.r_[parent, np.array(edges, dtype=np.int64)])
+                rank = np.searchsorted(context, parent)
+                own = np.bincount(rank, weights=count - DISCOUNT, minlength=len(context)).astype(float)  # of no rows numpy makes whole numbers
+                own[np.searchsorted(context, edges)] = [shared[c] for c in edges]
+                total = np.maximum(below.gather("count", context), 1)
+                back = np.clip(1 - own / total, 1e-9, 1.0)
+                if depth > 1:
+                    lower = -STEP * arrays["lower"].astype(float) if len(key) else np.zeros(0)
+                else:
+                    lower = trie.log10_word(trie.counts(word))
+                prob = np.clip((count - DISCOUNT) / total[rank] + back[rank] * 10.0**lower, 1e-13, 1.0)
+                sequences = {"parents": EliasFano.build(context), "nodes": EliasFano.build(rank * vocabulary + word)}
+                narrow = count.astype(np.min_scalar_type(int(count.max()))) if len(count) else count.astype(np.uint8)
+                write_shard(f"{folder}/{k:010d}", {}, sequences, {"prob": quantise(np.log10(prob)), "backoff": quantise(np.log10(back)), "count": narrow})
+                yield pa.RecordBatch.from_arrays([pa.array([k], "int32")], schema=done)
+
+    done = arrow_schema("range int")
+    wanted = spark.range(0, ranges, 1, owners).select(F.col("id").cast("int").alias("range"))
+    wanted.mapInArrow(finish, "range int").count()
+    rows = [(int(cuts[k]), f"{folder}/{k:010d}", *((kept[k]["nodes"], kept[k]["mass"]) if k in kept else (0, 0))) for k in range(ranges)]
+    return Trie([*trie.levels, Level(_numbered(rows), vocabulary)], trie.tokens, trie.words, trie.discount, trie.ngram_min)
+
+
+def train(docs: DataFrame, learned: Column | None = None, order: int = ORDER, ngram_min: int = NGRAM_MIN) -> tuple[Trie, DataFrame]:
+    """Fits on the rows of ``docs`` where ``learned`` holds (default: all); the model and the encoded corpus of all rows."""
+    spark, learned = docs.sparkSession, F.lit(True) if learned is None else learned
+    trie = _train_words(docs.filter(learned), spark, ngram_min)
+    encoded = encode(docs, trie, learned)
     while len(trie.levels) < order:
-        trie = _add_level(docs, spark, trie, ngram_min)
-    return trie
+        trie = _add_level(encoded, spark, trie)
+    return trie, encoded
 
 
-def score(docs: DataFrame, trie: Trie) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row."""
+def score(encoded: DataFrame, trie: Trie) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every text of an encoded corpus."""
     import pyarrow as pa
 
     ddl = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for batch, first, words, sizes in token_blocks(batches, 1):
-            begins = np.cumsum([0, *sizes[:-1]])
-            word, count = trie.look_up(words)
+        for ids, sizes, word in encoded_blocks(batches, trie, False):
+            begins = np.cumsum(sizes) - sizes
+            count = trie.counts(word)
             prob, _ = trie.walk(word, count, begins, len(trie.levels))
             base = np.log10((count + 1) / (trie.tokens + trie.words + 1))
-            ids = batch.column(0).slice(first, len(sizes)).cast("int64")
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, "int64"), pa.array(np.add.reduceat((count > 0).astype(np.int64), begins)), pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(prob, begins))], schema=schema)
+            sums = [np.add.reduceat(v, begins) for v in ((count > 0).astype(np.int64), base, prob)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *[pa.array(c, f.type) for c, f in zip([sizes, *sums], list(schema)[1:])]], schema=schema)
+        give_back()
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, ddl)
+    return encoded.mapInArrow(run, ddl)
 
 
 def score_held_out(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """Learns from the other folds and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     is_held = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
-    trie = train(docs.filter(~is_held), order)
-    found = score(docs, trie)
+    trie, encoded = train(docs, ~is_held, order)
+    found = score(encoded, trie)
     return found.select("doc_id", is_held.alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
