@@ -58,6 +58,8 @@ BLOCK_TOKENS, ROW_TOKENS = 1_000_000, 65_536
 RUN_NGRAMS = 3_000_000
 #: Tokens for each range of a level's keys, and the most ranges of a level.
 RANGE_TOKENS, MOST_RANGES = 1_000_000, 1 << 16
+#: Words of a worker's look-up cache, and words whose counts it holds as one array (else they are read from the shards).
+KNOWN_WORDS, DENSE_WORDS = 500_000, 4_000_000
 #: Quantisation: log10 from -13 to 0 in 16 bits.
 STEP = 13 / 65535
 
@@ -112,19 +114,33 @@ class EliasFano:
         out[over] |= self.lows[(at[over] >> 6) + 1] << (np.uint64(64) - shift[over])
         return out & np.uint64((1 << self.low_bits) - 1)
 
-    def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
-        """How many elements come before the k-th zero, from 0; all if there are fewer zeros."""
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero, from 0; the end of the bits if there are fewer."""
         word = np.clip(np.searchsorted(self.zeros, k, side="right") - 1, 0, len(self.highs) - 1)
-        left = k - self.zeros[word]
-        octets = (~self.highs[word]).view(np.uint8).reshape(-1, 8)
-        below = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        octet = (below <= left[:, None]).sum(axis=1)
-        inside = octet < 8
-        safe = np.minimum(octet, 7)
-        rest = left - np.where(octet > 0, below[np.arange(len(k)), np.maximum(octet, 1) - 1], 0)
-        bit = _SELECT[octets[np.arange(len(k)), safe], np.clip(rest, 0, 7)]
-        place = word * 64 + safe * 8 + bit
-        return np.where(inside, np.minimum(place - k, self.count), self.count)
+        left, bits, place = k - self.zeros[word], ~self.highs[word], word << 6
+        inside = left < np.bitwise_count(bits)
+        left = np.where(inside, left, 0)
+        for half in (32, 16, 8):  # into the half that holds it
+            below = np.bitwise_count(bits & np.uint64((1 << half) - 1))
+            upper = left >= below
+            left = left - below * upper
+            bits = np.where(upper, bits >> np.uint64(half), bits)
+            place = place + half * upper
+        return np.where(inside, place + _SELECT[(bits & np.uint64(255)).astype(np.int64), np.minimum(left, 7)], len(self.highs) << 6)
+
+    def _between(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 of the elements with these high bits: the ones between two neighbouring zeros."""
+        start = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1, 0)
+        first = start - high
+        word = np.minimum(start >> 6, len(self.highs) - 1)
+        shift = (start & 63).astype(np.uint64)
+        ended = ~(self.highs[word] >> shift)  # zeros are shifted in, so an end beyond the word shows as its end
+        ones = np.bitwise_count((ended & (~ended + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        last = first + ones
+        over = np.flatnonzero((start & 63) + ones >= 64)
+        if len(over):
+            last[over] = self._zero(high[over]) - high[over]
+        return np.minimum(first, self.count), np.minimum(last, self.count)
 
     def find(self, queries: np.ndarray) -> np.ndarray:
         out = np.full(len(queries), -1, dtype=np.int64)
@@ -134,10 +150,9 @@ class EliasFano:
         inside = np.flatnonzero(q >= np.uint64(self.base))
         v = q[inside] - np.uint64(self.base)
         high = v >> np.uint64(self.low_bits)
-        near = high < np.uint64(1 << 62)
+        near = high < np.uint64(len(self.highs) << 6)  # beyond the last bit there is nothing
         inside, v, high = inside[near], v[near], high[near].astype(np.int64)
-        first = np.where(high > 0, self._ones_before_zero(np.maximum(high - 1, 0)), 0)
-        last = self._ones_before_zero(high)
+        first, last = self._between(high)
         low = v & np.uint64((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(v), dtype=np.uint64)
         open_ = np.flatnonzero(first < last)
         while len(open_):  # binary search among the elements with the same high bits
@@ -300,20 +315,26 @@ class Trie:
     def log10_unknown(self) -> float:
         return float(np.log10(max(self.discount * self.words, 1) / max(self.tokens, 1))) if self.words else 0.0
 
-    def number(self, words: list[bytes]) -> np.ndarray:
-        """Word number or -1 of every token."""
+    def number(self, words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+        """Word number or -1 of every token; ``known`` keeps what was looked up, up to KNOWN_WORDS."""
         import xxhash
 
-        local: dict[bytes, int] = {}
-        place = np.fromiter((local.setdefault(w, len(local)) for w in words), dtype=np.int64, count=len(words))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), dtype=np.uint64, count=len(local))
-        order = np.argsort(hashes)
-        found = np.full(len(local), -1, dtype=np.int64)
-        found[order] = self.levels[0].find_words(hashes[order])
-        return found[place]
+        new = list({*words} - known.keys())
+        if new:
+            if len(known) + len(new) > KNOWN_WORDS:
+                known.clear()
+                new = list({*words})
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), dtype=np.uint64, count=len(new))
+            order = np.argsort(hashes)
+            found = np.full(len(new), -1, dtype=np.int64)
+            found[order] = self.levels[0].find_words(hashes[order])
+            known.update(zip(new, found.tolist()))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def counts(self, word: np.ndarray) -> np.ndarray:
         """Training count of every word number (0 for -1)."""
+        if self.words <= DENSE_WORDS:
+            return _dense_counts(tuple(s[1] for s in self.levels[0].shards))[word]
         order, first, which = distinct(word)
         values = word[order][first]
         known = values >= 0
@@ -350,6 +371,12 @@ class Trie:
         return prob, node
 
 
+@lru_cache(maxsize=1)
+def _dense_counts(paths: tuple) -> np.ndarray:
+    """All words' counts by number, and a 0 at the end for -1."""
+    return np.concatenate([*(Shard(p).arrays["count"].astype(np.int64) for p in paths), np.zeros(1, np.int64)])
+
+
 def parents_of(node: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The node before each token; none at the begin of a text."""
     parent = np.r_[-1, node[:-1]]
@@ -461,9 +488,10 @@ def encode(docs: DataFrame, trie: Trie, learned: Column) -> DataFrame:
     wide = np.int32 if trie.words < 2**31 else np.int64
 
     def run(batches):
+        known: dict[bytes, int] = {}
         for batch, first, words, sizes in token_blocks(batches, 2, ROW_TOKENS):
             own = [batch.column(k).slice(first, len(sizes)).to_pylist() for k in (0, 1)]
-            numbers = _packed(trie.number(words).astype(wide))
+            numbers = _packed(trie.number(words, known).astype(wide))
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip([*own, sizes, numbers], schema)], schema=schema)
         give_back()
 

@@ -111,7 +111,7 @@ def test_rare_words_keep_their_bigrams_in_a_large_corpus(spark):
 
 def test_ranges_runs_and_blocks_do_not_change_the_model(real, monkeypatch):
     one = ordered(tuple(r) for r in ngram_lm.score_held_out(real, 3).collect())
-    for name, value in (("RUN_NGRAMS", 500), ("RANGE_TOKENS", 30), ("ROW_TOKENS", 700), ("BLOCK_TOKENS", 3000)):
+    for name, value in (("RUN_NGRAMS", 500), ("RANGE_TOKENS", 30), ("ROW_TOKENS", 700), ("BLOCK_TOKENS", 3000), ("KNOWN_WORDS", 100), ("DENSE_WORDS", 0)):
         monkeypatch.setattr(ngram_lm, name, value)
     two = ordered(tuple(r) for r in ngram_lm.score_held_out(real, 3).collect())
     assert [r[:5] for r in one] == [r[:5] for r in two]
