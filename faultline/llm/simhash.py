@@ -37,6 +37,8 @@ WIDTH = 3
 #: For similar documents: overlap of five-word shingle sets, and independent fingerprint tables.
 SIMILARITY = 0.8
 TABLES = 4
+#: Minima of shingles that a table's open cells are dealt by.
+DRAWS = 2
 BLOCK, PARITY, RADIUS = 23, 11, 3
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
@@ -300,28 +302,30 @@ def _passing(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter((either == 0) | (shared >= similarity * either)).select("a", "b")
 
 
-def _open_cells(members: DataFrame, close: DataFrame, passed: DataFrame) -> DataFrame:
-    """``table``, ``a``, ``b``, ``id``, ``root``: members of fingerprints (a = b) and of close pairs that are not one component yet.
+def _second_look(members: DataFrame, close: DataFrame, passed: DataFrame, sets: DataFrame, draws: int) -> DataFrame:
+    """``a`` < ``b``: further pairs to compare, where equal and close fingerprints are not one component yet.
 
-    Cells of two documents are left out: these two have been compared.
+    Fingerprints of a table that are linked by closeness are one cell.  The members of a cell that has several
+    components are dealt by minima of hashed shingles: sets that overlap by s agree on a draw with probability s.
+    Who agrees is paired with two of them, drawn anew each time: at most two pairs for each member, table and draw.
     """
+    key = lambda c: F.xxhash64("table", c)
+    cells = components(close.select(key("a").alias("a"), key("b").alias("b")))
     roots = components(passed)
-    named = materialize(members.join(roots, members["id"] == roots["node"], "left").select("table", "print", "id", F.coalesce("root", "id").alias("root")), "word-roots")
-    states = materialize(named.groupBy("table", "print").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")), "word-states")
-    within = states.filter("lo < hi and n > 2").select("table", F.col("print").alias("a"), F.col("print").alias("b"))
-    one, two = (states.select("table", F.col("print").alias(k), *[F.col(c).alias(c + k) for c in ("lo", "hi", "n")]) for k in "ab")
-    across = close.join(one, ["table", "a"]).join(two, ["table", "b"]).filter("least(loa, lob) < greatest(hia, hib) and na + nb > 2").select("table", "a", "b")
-    cells = within.unionByName(across).withColumn("print", F.explode(F.array_distinct(F.array("a", "b"))))
-    return cells.join(named, ["table", "print"]).select("table", "a", "b", "id", "root").distinct()
-
-
-def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """``id``, ``shingle``: so many of each set's rarest that two sets with the overlap share one of them."""
-    each = sets.select("id", F.size("shingles").alias("n"), F.explode(F.when(F.size("shingles") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("shingles"))).alias("shingle"))
-    ranked = each.join(each.groupBy("shingle").agg(F.count("*").alias("times")), "shingle")
-    ranked = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("all"))
-    length = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
-    return ranked.select("id", F.explode(F.slice("all", 1, length)).alias("s")).select("id", "s.shingle")
+    placed = members.withColumn("cell", key("print")).join(cells.toDF("cell", "top"), "cell", "left").withColumn("cell", F.coalesce("top", "cell"))
+    placed = placed.join(roots.toDF("id", "root"), "id", "left").select("table", "cell", "id", F.coalesce("root", "id").alias("root"))
+    placed = materialize(placed, "word-cells")
+    # members of two have been compared
+    mixed = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("cell")
+    open_ = placed.join(mixed, "cell", "left_semi")
+    least = lambda k: F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.col("table") * draws + k)))
+    minima = F.posexplode(F.array(*[least(k) for k in range(draws)])).alias("draw", "least")
+    dealt = materialize(open_.join(sets, "id").select("cell", "id", "root", minima), "word-minima")
+    drawn = F.struct(F.xxhash64("id", "draw", "least"), "id", "root")
+    ends = dealt.groupBy("cell", "draw", "least").agg(F.min(drawn).alias("one"), F.max(drawn).alias("two"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    ends = ends.select("cell", "draw", "least", F.explode(F.array("one", "two")).alias("end"))
+    pairs = dealt.join(ends, ["cell", "draw", "least"]).filter("end.root <> root")
+    return pairs.select(F.least("end.id", "id").alias("a"), F.greatest("end.id", "id").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = 5, tables: int = TABLES, threshold: int = THRESHOLD) -> DataFrame:
@@ -330,9 +334,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     Documents with one fingerprint are compared with the smallest of them, and close
     fingerprints through their smallest documents, so a group of copies gives as many
     pairs as it has members.  Where that leaves documents of equal or close fingerprints
-    in different components, all pairs across these that share one of their rarest
-    shingles are compared too; no other pair can reach the overlap.  Rows without a
-    doc_id are left out; rows that repeat one are taken as one.
+    in different components, these are dealt anew by minima of their shingles and compared
+    again, twice a table.  Rows without a doc_id are left out; rows that repeat one are taken as one.
     """
     prints = materialize(_word_print_table(docs.filter(F.col("doc_id").isNotNull()), tables), "word-prints")
     members = prints.select("id", F.posexplode("prints").alias("table", "print"))
@@ -350,18 +353,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     some = docs.join(wanted, docs["doc_id"] == wanted["wanted"], "left_semi")
     sets = materialize(_shingle_table(some, width), "shingles").dropDuplicates(["id"])
     passed = materialize(_passing(pairs, sets, similarity), "similar")
-    left = materialize(_open_cells(members.join(wanted, members["id"] == wanted["wanted"], "left_semi").distinct(), close, passed), "open-cells")
-    if left.isEmpty():
-        return passed
-    rare = materialize(_rare_shingles(sets.join(left.select("id").distinct(), "id", "left_semi"), similarity), "rare-shingles")
-    # shingles of one component only cannot link two
-    by, keyed = ["table", "a", "b", "shingle"], left.join(rare, "id")
-    mixed = keyed.groupBy(*by).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(*by)
-    keyed = keyed.join(mixed, by)
-    x, y = (keyed.select(*by, F.col("id").alias("id" + k), F.col("root").alias("root" + k)) for k in "xy")
-    more = x.join(y, by).filter("idx < idy and rootx <> rooty").select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more-candidates")
-    return passed.unionByName(_passing(more, sets, similarity))
+    again = _second_look(members.join(wanted, members["id"] == wanted["wanted"], "left_semi").distinct(), close, passed, sets, DRAWS)
+    more = materialize(again.join(pairs, ["a", "b"], "left_anti"), "more-candidates")
+    return passed if more.isEmpty() else passed.unionByName(_passing(more, sets, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, similarity: float | None = SIMILARITY) -> DataFrame:

@@ -127,10 +127,46 @@ def test_similar_documents_behind_a_dissimilar_smaller_one(spark):
     assert (1, 2) in near and (1, 4) not in near and (3, 4) in near and not any(a in (0, 5) for a, _ in near)
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     got = {tuple(r) for r in simhash.similar_documents(df).collect()}
-    assert got <= near and {(a, b) for a, b in near if b < 6} <= got
+    assert got <= near
+    # what is similar is linked, over others if need be
+    assert linked({p for p in got if p[1] < 6}, 6) == linked({p for p in near if p[1] < 6}, 6)
     assert simhash.drop_near_duplicates(df.filter("doc_id < 6")).count() == 3
 
 
+def linked(pairs, n):
+    """The smallest that each of n reaches."""
+    least = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_second_look_makes_no_more_pairs_than_members(spark):
+    """A large group of one bag of words with two kinds of texts: pairs stay in proportion to it."""
+    rng = random.Random(6)
+    lines = [[f"w{k}x{j}" for j in range(12)] for k in range(20)]
+    other = lines[:]
+    rng.shuffle(other)
+    # words shuffled within lines too, so the two kinds share no shingles but each kind is its own copies with one line moved
+    other = [rng.sample(x, len(x)) for x in other]
+    kinds = [lines, other]
+    texts = [" ".join(w for x in (kinds[k % 2][k % 7 :] + kinds[k % 2][: k % 7]) for w in x) for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.similar_documents(df)
+    assert found.count() <= 200 * simhash.TABLES * (2 * simhash.DRAWS + 1)
+    assert simhash.drop_near_duplicates(df).count() == 2
+
+
+def test_components_by_shuffle_and_by_broadcast_agree(spark, monkeypatch):
+    from faultline.llm import components as module
+
+    links = spark.createDataFrame([(0, k) for k in range(1, 300)] + [(500 + k, 501 + k) for k in range(30)], "a long, b long")
+    want = ordered(components(links).collect())
+    monkeypatch.setattr(module, "BROADCAST_LINKS", 0)
+    assert ordered(components(links).collect()) == want
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(5, 5), (7, 7)]
     random.Random(1).shuffle(links)
