@@ -33,13 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_made: dict[str, list[str]] = {}
+_made: dict[str, list[tuple[str, str | None]]] = {}
 
 
-def workspace(spark: SparkSession, label: str) -> str:
-    """A new, unused folder below the shared one; ``release`` deletes it."""
+def workspace(spark: SparkSession, label: str, table_name: str | None = None) -> str:
+    """A new, unused folder below the shared one; ``release`` deletes it, and the catalog's table if it holds one."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append((path, table_name))
     return path
 
 
@@ -47,7 +47,9 @@ def release(spark: SparkSession) -> int:
     """Deletes all stage tables of this session.  Results read them lazily: call it once these are written."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    for path, table_name in paths:
+        if table_name:
+            spark.sql(f"DROP TABLE IF EXISTS {table_name}")
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
     return len(paths)

@@ -14,11 +14,10 @@ document with a smaller doc_id.
 3. Anchors with shared grams are sent with the bytes around them.  Equal
    surroundings within a group are settled there and sent once.  A gram in very
    many documents is split by its windows, each of which is a bucket of its own.
-4. The owner of a bucket refines it: positions are ranked by 8-grams, then by
-   pairs of bucket numbers 8, 16 and 18 bytes on, where each round uses the ranks
-   of the round before.  Positions alone in their bucket drop out.  After four rounds
-   positions with equal numbers start equal windows, and the least doc_id of a
-   bucket decides.
+4. The owner of a bucket refines it: positions are sorted into buckets by 8-grams, and
+   buckets by the bucket pointers of later offsets.  Refined pointers take effect at once,
+   so buckets refined later in the same pass build on them.  Positions alone in their
+   bucket drop out.  The least doc_id of those that start equal windows decides.
 5. Runs go back to the groups and are cut from the texts.
 
 Bytes are compared, never only hashes (whole texts by SHA-256).  Defined results: a null text is empty; a
@@ -44,12 +43,14 @@ GRAM = 20
 #: Texts of one group, in bytes; a longer text is a group of its own at most.
 GROUP_BYTES = 1 << 20
 #: Documents that make a gram's bucket one that is split by windows: below it a bucket's
-#: surroundings take about 10 MB at most.
-HOT_DOCS = 100_000
+#: surroundings take about half a megabyte at most.
+HOT_DOCS = 5_000
 LAST_ID = (1 << 63) - 1
 BLOCK = 1 << 21
 #: Bytes around anchors that are refined at once; one bucket may exceed it.
 REFINE_BYTES = 1 << 20
+#: Members of buckets that are refined at once; later blocks of a pass build on them.
+BLOCK_MEMBERS = 1 << 16
 #: Surroundings that a task holds as Python objects at once; one bucket may exceed it.
 OWNER_ROWS = 40_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -136,36 +137,53 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def refine(x: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Bucket numbers of the ``starts``: equal exactly if the ``length`` bytes from there are; -1 if alone.
 
-    ``starts`` must leave ``length`` bytes.  Ranks are kept for every position, so a
-    round can look up those of the round before at later offsets.
+    ``starts`` must leave ``length`` bytes.  Positions are sorted into buckets by their first 8 bytes; a position's
+    bucket pointer is where its bucket begins in sorted order, and a bucket knows how many bytes its members share.
+    Buckets are refined in blocks by the pointers of the positions that many bytes on.  New pointers and shared
+    lengths take effect at once: later blocks of the same pass compare by them, and so reach further than a step
+    of 8.  In the end equal windows are neighbours, and neighbours are compared byte for byte.
     """
     size = len(x)
-    rank = np.zeros(size, dtype=np.int64)
-    words = np.lib.stride_tricks.sliding_window_view(x, 8) if size >= 8 else np.zeros((0, 8), np.uint8)
-    wanted = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(wanted, starts, 1)
-    np.add.at(wanted, np.minimum(starts + length - 7, size), -1)
-    live = np.flatnonzero(np.cumsum(wanted)[:size])
-    _, rank[live] = np.unique(np.ascontiguousarray(words[live]).view(">u8")[:, 0], return_inverse=True)
-    reach, current = 8, starts
-    while reach < length:
-        step = min(reach, length - reach)
-        # every position that a later round looks up, but never one alone in its bucket
-        wanted[:] = 0
-        np.add.at(wanted, current, 1)
-        np.add.at(wanted, np.minimum(current + length - reach - step + 1, size), -1)
-        live = np.flatnonzero(np.cumsum(wanted)[:size])
-        pair = rank[live] * (size + 1) + rank[live + step]
-        _, number, count = np.unique(pair, return_inverse=True, return_counts=True)
-        rank[live] = number
-        alone = np.zeros(size, dtype=bool)
-        alone[live] = count[number] == 1
-        reach += step
-        # a window is alone as soon as its own start is
-        current = current[~alone[current]]
-    out = np.full(len(starts), -1, dtype=np.int64)
-    place = np.searchsorted(starts, current)
-    out[place] = rank[current]
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.r_[x, np.zeros(7, np.uint8)], 8)).view(">u8")[:, 0].astype(np.uint64)
+    live = np.flatnonzero(np.cumsum(np.bincount(starts, minlength=size + 1) - np.bincount(starts + length, minlength=size + 1))[:size] > 0)
+    ordered = live[np.argsort(grams[live])]
+    new = np.r_[True, grams[ordered[1:]] != grams[ordered[:-1]]]
+    first = np.flatnonzero(new)
+    count = np.diff(np.r_[first, len(ordered)])
+    pointer, shared = np.full(size + length, -1, dtype=np.int64), np.zeros(size + length, dtype=np.int64)
+    pointer[ordered], shared[ordered] = np.repeat(first, count), 8
+    open_ = first[count > 1], count[count > 1]
+    while len(open_[0]):
+        begins, sizes = open_
+        parts, found = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK_MEMBERS, prepend=-1)), []
+        for lo, hi in zip(parts, [*parts[1:], len(begins)]):
+            begin, many = begins[lo:hi], sizes[lo:hi]
+            place = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            members = ordered[place]
+            known = shared[members]
+            ahead = pointer[members + known]  # -1 beyond all windows: such members need no more than is known
+            order = np.argsort(np.repeat(begin * (size + 1), many) + ahead)  # buckets stay where they are
+            members, ahead, own = members[order], ahead[order], np.repeat(begin, many)
+            edge = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])])
+            n = np.diff(np.r_[edge, len(members)])
+            reach = np.where(ahead >= 0, shared[members] + shared[members + shared[members]], length)
+            ordered[place] = members
+            pointer[members], shared[members] = np.repeat(place[edge], n), reach
+            more = (n > 1) & (reach[edge] < length)
+            found.append((place[edge][more], n[more]))
+        open_ = tuple(np.concatenate(c) for c in zip(*found))
+    rank = np.argsort(pointer[starts], kind="stable")
+    p, q = starts[rank[:-1]], starts[rank[1:]]
+    same = pointer[p] == pointer[q]
+    apart = np.flatnonzero(~same)
+    for at in [*range(0, length - 8, 8), length - 8]:
+        apart = apart[grams[p[apart] + at] == grams[q[apart] + at]]
+    same[apart] = True
+    bucket = np.cumsum(np.r_[True, ~same]) - 1
+    out = np.empty(len(starts), dtype=np.int64)
+    out[rank] = np.where(np.bincount(bucket)[bucket] > 1, bucket, -1)
     return out
 
 
@@ -228,7 +246,7 @@ def _groups(docs: DataFrame, columns: list[str], group_bytes: int) -> tuple[Data
     held = [F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]
     rows = docs.select(key.alias("id"), body.alias("body"), F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias("group"), *held)
     name, parts = f"faultline_texts_{uuid.uuid4().hex}", partitions(spark)
-    rows.repartition(parts, "group").write.bucketBy(parts, "group").option("path", workspace(spark, "texts")).saveAsTable(name)
+    rows.repartition(parts, "group").write.bucketBy(parts, "group").option("path", workspace(spark, "texts", name)).saveAsTable(name)
     return spark.table(name), count
 
 
@@ -409,7 +427,8 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated bytes cut from ``text``; texts without any stay as they are, null ones null."""
     others = [c for c in docs.columns if c != "text"]
-    held = docs.withColumn("__null", F.col("text").isNull())
-    out = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in others] + [T.StructField("__null", T.BooleanType()), T.StructField("text", T.StringType())])
-    made = _cut(held, [*others, "__null"], out, lambda body, runs, kept: ((kept if runs else body).decode("utf-8", "ignore"),))
-    return made.withColumn("text", F.when(~F.col("__null"), F.col("text"))).select(*docs.columns)
+    missing = f"{uuid.uuid4().hex}_null"  # no column of docs is named so
+    held = docs.withColumn(missing, F.col("text").isNull())
+    out = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in others] + [T.StructField(missing, T.BooleanType()), T.StructField("text", T.StringType())])
+    made = _cut(held, [*others, missing], out, lambda body, runs, kept: ((kept if runs else body).decode("utf-8", "ignore"),))
+    return made.withColumn("text", F.when(~F.col(missing), F.col("text"))).select(*docs.columns)
