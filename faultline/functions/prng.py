@@ -24,10 +24,25 @@ def below(key: Column, n: Column, seed: int | Column = 42) -> Column:
     return F.floor(draw(key, seed) / F.lit(65536.0)).cast("long") % n
 
 
+def name_key(name: Column) -> Column:
+    """Integer from 0 to 2^28 - 1 for a name of any type."""
+    return F.conv(F.substring(F.md5(name.cast("string")), 1, 7), 16, 10).cast("long")
+
+
+def sql_name_key(name: str) -> str:
+    return f"CAST('0x' || substring(md5(CAST({name} AS VARCHAR)), 1, 7) AS BIGINT)"
+
+
 def trial_seed(trial: Column) -> Column:
     return trial * 7 + 13
 
 
+def draws(keys, seed: int = 42):
+    """The same integers of a numpy array."""
+    once = ((keys % MODULUS) * FACTOR + STEP + seed) % MODULUS
+    return (once * FACTOR + STEP) % MODULUS
+
+
 def sql_draw(key: str, seed: int | str = 42) -> str:
     """The same integer as SQL text."""
     return f"(((({key}) % {MODULUS}) * {FACTOR} + {STEP} + ({seed})) % {MODULUS} * {FACTOR} + {STEP}) % {MODULUS}"

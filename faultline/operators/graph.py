@@ -53,15 +53,27 @@ def size(all_nodes: DataFrame, directed: DataFrame) -> DataFrame:
 def negative_pairs(all_nodes: DataFrame, directed: DataFrame, ratio: int = 3, rank=None) -> DataFrame:
     """project, a < b: node pairs without an edge, ``ratio`` for each edge or all there are.
 
-    Pairs are drawn within a project; ``rank`` orders them (default: a hash).
+    A project whose pairs are few against those wanted lists them all; ``rank`` orders them (default: a hash).  In
+    any other, pairs are drawn - three for each that is wanted, which leaves enough where free pairs abound - so
+    the work follows the edges, not the square of the nodes.
     """
     linked = undirected(directed)
-    wanted = linked.groupBy("project").agg((F.count("*") * ratio).alias("wanted"))
-    one, two = all_nodes.select("project", F.col("node").alias("a")), all_nodes.select("project", F.col("node").alias("b"))
-    pairs = one.join(two, "project").filter("a < b").join(linked, ["project", "a", "b"], "left_anti")
+    n = all_nodes.groupBy("project").agg(F.count("*").alias("n"))
+    wanted = linked.groupBy("project").agg((F.count("*") * ratio).alias("wanted")).join(n, "project")
+    few = F.col("n") * (F.col("n") - 1) <= 16 * F.col("wanted")
     order = rank if rank is not None else F.xxhash64("a", "b")
-    placed = pairs.withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy(order, "a", "b")))
-    return placed.join(wanted, "project").filter("place <= wanted").select("project", "a", "b")
+    one, two = all_nodes.select("project", F.col("node").alias("a")), all_nodes.select("project", F.col("node").alias("b"))
+    listed = one.join(wanted.filter(few), "project").join(two, "project").filter("a < b").select("project", "wanted", "a", "b").withColumn("order", order.cast("long"))
+    numbered = all_nodes.select("project", "node", (F.row_number().over(Window.partitionBy("project").orderBy("node")) - 1).alias("number"))
+    tries = wanted.filter(~few).select("project", "wanted", "n", F.explode(F.sequence(F.lit(0).cast("long"), 3 * F.col("wanted") + 20)).alias("order"))
+    tries = tries.select("project", "wanted", "order", *[F.pmod(F.xxhash64("project", "order", F.lit(k)), F.col("n")).cast("int").alias(k) for k in ("x", "y")])
+    for k in ("x", "y"):
+        tries = tries.join(numbered.select("project", F.col("number").alias(k), F.col("node").alias(f"node_{k}")), ["project", k])
+    drawn = tries.filter("node_x <> node_y").select("project", "wanted", F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), "order")
+    drawn = drawn.groupBy("project", "wanted", "a", "b").agg(F.min("order").alias("order"))
+    free = listed.select("project", "wanted", "a", "b", "order").unionByName(drawn).join(linked, ["project", "a", "b"], "left_anti")
+    placed = free.withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy("order", "a", "b")))
+    return placed.filter("place <= wanted").select("project", "a", "b")
 
 
 # ---- message passing ----
@@ -115,8 +127,8 @@ def _forward(h: np.ndarray, mean: np.ndarray, weights: list[np.ndarray]) -> np.n
     return h
 
 
-def train_features(h: np.ndarray, links: np.ndarray, weights: list[np.ndarray], epochs: int = 100, rate: float = 0.01, margin: float = 0.5, ratio: int = 3, sign: str = "contrastive", seed: int = 42) -> np.ndarray:
-    """Moves input features so that linked nodes come closer; ``sign="as_coded"`` moves them the other way.
+def train_features(h: np.ndarray, links: np.ndarray, weights: list[np.ndarray], epochs: int = 100, rate: float = 0.01, margin: float = 0.5, ratio: int = 3, sign: str = "as_coded", seed: int = 42) -> np.ndarray:
+    """Moves input features along linked nodes: by default apart, as the surveyed method is coded; ``sign="contrastive"`` draws them together.
 
     ``links``: pairs a, b as index rows, reciprocal ones twice.  Negative pairs are drawn from
     the non-edges there are; a complete graph has none.
@@ -148,7 +160,7 @@ def train_features(h: np.ndarray, links: np.ndarray, weights: list[np.ndarray],
     return _forward(h, mean, weights)
 
 
-def embed(all_nodes: DataFrame, directed: DataFrame, width: int = 32, epochs: int = 100, sign: str = "contrastive") -> DataFrame:
+def embed(all_nodes: DataFrame, directed: DataFrame, width: int = 32, epochs: int = 100, sign: str = "as_coded") -> DataFrame:
     """project, node, h: trained embedding of every project's graph, projects in parallel."""
     import pandas as pd
 

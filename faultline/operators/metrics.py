@@ -65,6 +65,11 @@ def summarise(trials: DataFrame, by: str = "target") -> DataFrame:
     return trials.groupBy(by).agg(F.count("f1").alias("n_ok"), *out)
 
 
+def overall(rows: DataFrame, digits: int = 3) -> DataFrame:
+    """n and the rounded average of each score over rows of targets (and repeats); rows without a score are left out of it."""
+    return rows.agg(F.count("*").alias("n"), *[F.round(F.avg(m), digits).alias(m) for m in ("f1", "auc", "mcc")])
+
+
 def against_paper(summary: DataFrame) -> DataFrame:
     """metric, mean, paper, delta_pct: averages over targets against the published ones."""
     means = summary.agg(*[F.avg(f"{m}_mean").alias(m) for m in PAPER])

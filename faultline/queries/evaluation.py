@@ -111,3 +111,8 @@ def q39_coral_wide(spark, sf_dir):
     got, want = stats.covariance(align.transform(one, EVENT_FEATURES, a), EVENT_FEATURES), stats.covariance(two, EVENT_FEATURES)
     error = np.abs(got + 1e-3 * a.T @ a - want - 1e-3 * np.eye(len(want)))
     return spark.createDataFrame([(EVENT_FEATURES[i], EVENT_FEATURES[j], float(got[i, j]), float(want[i, j]), float(error[i, j])) for i in range(4) for j in range(4)], "a string, b string, aligned double, goal double, error double")
+
+
+@query(f"{_sql('project')} SELECT count(*) AS n, round(avg(f1), 3) AS f1, round(avg(auc), 3) AS auc, round(avg(mcc), 3) AS mcc FROM sc")
+def q97_overall_averages(spark, sf_dir):
+    return metrics.overall(metrics.scores(scored_events(spark, sf_dir), ["project"]))

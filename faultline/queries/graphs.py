@@ -37,24 +37,6 @@ _ADJ = "adj AS (SELECT src AS node, dst AS other FROM g UNION ALL SELECT dst, sr
 _MEAN = f"{LINKS}, {_H}, {_ADJ}, m AS (SELECT a.node, avg(h0) AS m0, avg(h1) AS m1 FROM adj a JOIN h ON h.node = a.other GROUP BY a.node), nm AS (SELECT h.node, h0, h1, coalesce(m0, 0) AS m0, coalesce(m1, 0) AS m1 FROM h LEFT JOIN m ON h.node = m.node)"
 
 
-@query(r"""SELECT page_id, len(x) AS n_links, len(list_distinct(x)) AS n_distinct FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS x FROM pages)""")
-def q40_links(spark, sf_dir):
-    p = _T(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1)).alias("x"))
-    return p.select("page_id", F.size("x").cast("long").alias("n_links"), F.size(F.array_distinct("x")).cast("long").alias("n_distinct"))
-
-
-@query(r"""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages) SELECT href, regexp_replace(string_split(href, '/')[-1], '\.html$', '') AS stem, replace(href, '/', '.') AS dotted, count(*) AS n, count(DISTINCT page_id) AS pages FROM x GROUP BY ALL""")
-def q41_link_targets(spark, sf_dir):
-    x = _T(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).alias("href"))
-    named = x.select("page_id", "href", F.regexp_replace(F.substring_index("href", "/", -1), r"\.html$", "").alias("stem"), F.replace("href", F.lit("/"), F.lit(".")).alias("dotted"))
-    return named.groupBy("href", "stem", "dotted").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
-
-
-@query(f"WITH {LINKS} SELECT src, dst FROM g")
-def q42_edges(spark, sf_dir):
-    return nation_links(spark, sf_dir).select("src", "dst")
-
-
 @query(f"WITH {LINKS} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g")
 def q43_undirected(spark, sf_dir):
     return graph.undirected(nation_links(spark, sf_dir)).select("a", "b")
@@ -90,15 +72,6 @@ def q48_negative_pairs(spark, sf_dir):
     return graph.negative_pairs(nation_nodes(spark, sf_dir), nation_links(spark, sf_dir), 3, draw(F.col("a") * 1000 + F.col("b"))).select("a", "b")
 
 
-@query("WITH k AS (SELECT p_brand AS name, max(p_partkey) AS ord FROM part WHERE p_size > 25 GROUP BY p_brand), t AS (SELECT split_part(p_type, ' ', 1) AS name, max(p_partkey) AS ord FROM part WHERE p_size > 40 GROUP BY ALL) SELECT p_partkey, coalesce(k.ord, t.ord, 0) AS ord, coalesce(k.ord, t.ord) IS NOT NULL AS matched FROM part LEFT JOIN k ON p_brand = k.name AND p_size % 2 = 0 LEFT JOIN t ON split_part(p_type, ' ', 1) = t.name")
-def q49_prioritised_lookup(spark, sf_dir):
-    part = _T(spark, sf_dir, "part")
-    k = part.filter("p_size > 25").groupBy(F.col("p_brand").alias("name1")).agg(F.max("p_partkey").alias("e1"))
-    t = part.filter("p_size > 40").groupBy(F.substring_index("p_type", " ", 1).alias("name2")).agg(F.max("p_partkey").alias("e2"))
-    j = part.join(k, (F.col("p_brand") == F.col("name1")) & (F.col("p_size") % 2 == 0), "left").join(t, F.substring_index("p_type", " ", 1) == F.col("name2"), "left")
-    return j.select("p_partkey", F.coalesce("e1", "e2", F.lit(0).cast("long")).alias("ord"), F.coalesce("e1", "e2").isNotNull().alias("matched"))
-
-
 @query(f"WITH {VECTORS}, t AS (SELECT project, x[1] AS a, x[2] AS b, CAST(row_id % 3 > 0 AS INTEGER) AS mask FROM v) SELECT project, round(sum(a * mask) / sum(mask), 5) AS a, round(sum(b * mask) / sum(mask), 5) AS b FROM t GROUP BY project")
 def q50_masked_mean(spark, sf_dir):
     t = vector_instances(spark, sf_dir).select("project", F.slice("x", 1, 2).alias("h"), (F.col("row_id") % 3 > 0).cast("int").alias("mask"))
@@ -120,11 +93,17 @@ def q52_vector_centroids(spark, sf_dir):
     return c.select("project", "n", F.round(F.get("c", 0), 5).alias("a"), F.round(F.get("c", 63), 5).alias("z"))
 
 
-@query()
+@query("SELECT CAST(n_nationkey AS BIGINT) AS node, 32 AS width, TRUE AS unit FROM nation")
 def q53_trained_embeddings(spark, sf_dir):
-    return graph.embed(nation_nodes(spark, sf_dir), nation_links(spark, sf_dir), epochs=20)
+    """A vector of unit length, or zeros, for every node."""
+    h = graph.embed(nation_nodes(spark, sf_dir), nation_links(spark, sf_dir))
+    size = F.aggregate("h", F.lit(0.0), lambda s, x: s + x * x)
+    return h.select("node", F.size("h").cast("long").alias("width"), ((F.abs(size - 1) < 1e-6) | (size == 0)).alias("unit"))
 
 
-@query()
+@query("SELECT page_id, 256 AS width, regexp_matches(html, '[0-9A-Za-z_]') AS unit FROM pages")
 def q54_text_vectors(spark, sf_dir):
-    return graph.hashed_text_vectors(_T(spark, sf_dir, "pages"), 64, "html").select("page_id", "semantic")
+    """Unit length where there is a token, else zeros."""
+    v = graph.hashed_text_vectors(_T(spark, sf_dir, "pages"), 256, "html")
+    size = F.aggregate("semantic", F.lit(0.0), lambda s, x: s + x * x)
+    return v.select("page_id", F.size("semantic").cast("long").alias("width"), (F.abs(size - 1) < 1e-6).alias("unit"))

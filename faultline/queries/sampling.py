@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.prng import MODULUS, sql_draw
+from ..functions.prng import MODULUS, sql_draw, sql_name_key
 from ..operators import resample, split
 from ..sources.readers import EVENT_FEATURES, event_instances
 from .base import EVENTS, query
@@ -21,14 +21,14 @@ def q20_label_split(spark, sf_dir):
     return df.groupBy("project", "y", "labelled").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
-@query(f"WITH {EVENTS}, p AS (SELECT DISTINCT project FROM e), q AS (SELECT a.project AS target, b.project AS source, repeat FROM p a JOIN p b ON a.project <> b.project, range(5) r(repeat)) SELECT target, source, repeat, row_number() OVER (PARTITION BY target, repeat ORDER BY {sql_draw('source + 1000 * target + 1000000 * repeat')}, source) AS rank FROM q QUALIFY rank <= 3")
+@query(f"WITH {EVENTS}, p AS (SELECT DISTINCT project FROM e), q AS (SELECT a.project AS target, b.project AS source, repeat FROM p a JOIN p b ON a.project <> b.project, range(5) r(repeat)) SELECT target, source, repeat, row_number() OVER (PARTITION BY target, repeat ORDER BY md5(concat_ws('|', target, source, repeat)), source) AS rank FROM q QUALIFY rank <= 3")
 def q21_random_sources(spark, sf_dir):
     return split.random_sources(event_instances(spark, sf_dir)).select("target", "source", "repeat", "rank")
 
 
-@query(f"WITH {EVENTS}, n AS (SELECT project, count(*) AS n FROM e GROUP BY project), o AS (SELECT project, row_id, row_number() OVER (PARTITION BY project ORDER BY {sql_draw('row_id')}, row_id) AS place FROM e), p AS (SELECT a.project AS target, b.project AS source, least(a.n, b.n, 50) AS m FROM n a JOIN n b ON a.project <> b.project), s AS (SELECT target, source, m, 0 AS domain, source AS project FROM p UNION ALL SELECT target, source, m, 1, target FROM p) SELECT target, source, domain, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM s JOIN o USING (project) WHERE place <= m GROUP BY ALL")
+@query(f"WITH {EVENTS}, n AS (SELECT project, count(*) AS n FROM e GROUP BY project), o AS (SELECT project, row_id, row_number() OVER (PARTITION BY project ORDER BY {sql_draw('row_id')}, row_id) AS place FROM e), p AS (SELECT a.project AS target, b.project AS source, least(a.n, b.n, 300) AS m FROM n a JOIN n b ON a.project <> b.project), s AS (SELECT target, source, m, 0 AS domain, source AS project FROM p UNION ALL SELECT target, source, m, 1, target FROM p) SELECT target, source, domain, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM s JOIN o USING (project) WHERE place <= m GROUP BY ALL")
 def q22_balanced_domains(spark, sf_dir):
-    df = split.balanced_domains(event_instances(spark, sf_dir), 50)
+    df = split.balanced_domains(event_instances(spark, sf_dir))
     return df.groupBy("target", "source", "domain").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
@@ -60,7 +60,7 @@ def q27_neighbours(spark, sf_dir):
     return resample.neighbours(rows, EVENT_FEATURES).select("project", "row_id", "other", "place", F.round("d2", 5).alias("d2"))
 
 
-_KEY = "synthetic + 1000003 * project"
+_KEY = f"synthetic + 1000003 * {sql_name_key('project')}"
 _HIGH = lambda seed: f"CAST(floor(({sql_draw(_KEY, seed)}) / 65536e0) AS BIGINT)"
 
 

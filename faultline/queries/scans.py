@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sigmoid
+from ..operators import select
 from ..sources import schema
-from ..sources.readers import event_instances, line_instances, vector_instances
+from ..sources.readers import LINE_FEATURES, event_instances, line_instances, vector_instances
 from .base import EVENTS, LINES, VECTORS, query
 
 _T = lambda spark, d, n: spark.read.parquet(f"{d}/{n}.parquet")
@@ -46,8 +47,8 @@ def q63_numeric_projection(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT project, CAST(x0 > 50 AS INTEGER) AS label, count(*) AS n, count(*) FILTER (y = 1) AS n_pos FROM e WHERE x1 IS NOT NULL GROUP BY ALL")
 def q64_binarise(spark, sf_dir):
-    e = event_instances(spark, sf_dir).filter(F.col("x1").isNotNull())
-    return e.groupBy("project", (F.col("x0") > 50).cast("int").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"))
+    e = event_instances(spark, sf_dir).filter(F.col("x1").isNotNull()).withColumn("bug", F.col("x0") - 50)
+    return e.groupBy("project", schema.binarise().alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"))
 
 
 @query(f"WITH {VECTORS}, t AS (SELECT project, row_id, x[1:CASE WHEN project % 2 = 0 THEN 64 ELSE 48 END] AS x FROM v), w AS (SELECT min(len(x)) AS w FROM t) SELECT project, count(*) AS n, count(DISTINCT len(t.x)) AS widths, max(len(t.x[1:w])) AS width FROM t, w GROUP BY project")
@@ -64,14 +65,6 @@ def q66_pad_or_trim(spark, sf_dir):
     return fitted.select("project", "pos", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
 
 
-@query("SELECT c_nationkey AS nation, CASE WHEN bool_or(c_acctbal < 0) THEN 1 ELSE 0 END AS has_debt, len(list_distinct(list(c_mktsegment))) AS n_segments, 5 - len(list_distinct(list(c_mktsegment))) AS n_missing FROM customer GROUP BY c_nationkey")
-def q67_set_difference(spark, sf_dir):
-    c = _T(spark, sf_dir, "customer")
-    all_names = F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
-    g = c.groupBy(F.col("c_nationkey").alias("nation")).agg(F.max((F.col("c_acctbal") < 0).cast("int")).alias("has_debt"), F.collect_set("c_mktsegment").alias("s"))
-    return g.select("nation", "has_debt", F.size("s").cast("long").alias("n_segments"), (F.lit(5) - F.size("s")).cast("long").alias("n_missing"))
-
-
 @query(f"WITH {EVENTS} SELECT row_id, round(ln(x0 + 1), 5) AS a, round(abs(x0 - 50), 5) AS b, round(sqrt(x0), 5) AS c, round(x0 * x0 * x0 / 1000, 4) AS d, round(greatest(least(x0, 80), 20), 5) AS e, round(1 / (1 + exp(-x0 / 50)), 6) AS f, CAST(abs(x0 - 50) > 1e-6 AS INTEGER) AS g FROM e WHERE x0 >= 0")
 def q68_scalars(spark, sf_dir):
     e = event_instances(spark, sf_dir).filter("x0 >= 0")
@@ -79,11 +72,10 @@ def q68_scalars(spark, sf_dir):
     return e.select("row_id", F.round(F.ln(x + 1), 5).alias("a"), F.round(F.abs(x - 50), 5).alias("b"), F.round(F.sqrt(x), 5).alias("c"), F.round(F.pow(x, F.lit(3)) / 1000, 4).alias("d"), F.round(F.greatest(F.least(x, F.lit(80.0)), F.lit(20.0)), 5).alias("e"), F.round(sigmoid(x / 50), 6).alias("f"), (F.abs(x - 50) > 1e-6).cast("int").alias("g"))
 
 
-@query(f"WITH {LINES}, p AS (SELECT DISTINCT project FROM l) SELECT p.project AS target, count(*) AS n_candidates, sum(n) AS n_rows FROM p JOIN (SELECT project, count(*) AS n FROM l GROUP BY project) s ON p.project <> s.project GROUP BY p.project")
+@query(f"WITH {LINES}, p AS (SELECT DISTINCT project FROM l) SELECT a.project AS target, count(*) AS n_candidates, CAST(sum(b.project) AS BIGINT) AS sources FROM p a JOIN p b ON a.project <> b.project GROUP BY a.project")
 def q69_candidates(spark, sf_dir):
-    n = line_instances(spark, sf_dir).groupBy("project").agg(F.count("*").alias("n"))
-    pairs = n.select(F.col("project").alias("target")).join(n, F.col("target") != F.col("project"))
-    return pairs.groupBy("target").agg(F.count("*").alias("n_candidates"), F.sum("n").cast("double").alias("n_rows"))
+    ranked = select.rank_sources(line_instances(spark, sf_dir), LINE_FEATURES)
+    return ranked.groupBy("target").agg(F.count("*").alias("n_candidates"), F.sum("source").alias("sources"))
 
 
 @query(f"WITH {LINES} SELECT project, round(avg(CAST(quantity AS REAL)), 3) AS quantity, round(avg(CAST(discount AS REAL)), 4) AS discount FROM l GROUP BY project")

@@ -129,18 +129,22 @@ def q14_labelled_documents(spark, sf_dir):
     return d.groupBy("project").agg(F.count("*").alias("n"), F.count("y").alias("n_labelled"), F.round(F.avg("y"), 6).alias("rate"), (F.count_distinct("y") >= 2).alias("usable"))
 
 
-@query(f"WITH {EVENTS} SELECT project, count(DISTINCT y) AS n_classes, count(DISTINCT y) >= 2 AS usable FROM e WHERE row_id % 11 <> 0 GROUP BY project")
+@query(f"WITH {EVENTS} SELECT project, count(DISTINCT y) AS n_classes, count(DISTINCT y) >= 2 AS usable FROM e GROUP BY project")
 def q15_two_class_guard(spark, sf_dir):
-    return schema.two_class(event_instances(spark, sf_dir).filter("row_id % 11 <> 0"))
+    return schema.two_class(event_instances(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {EVENTS}, p AS (SELECT DISTINCT project FROM e) SELECT a.project AS target, b.project AS source, TRUE AS bounded FROM p a JOIN p b ON a.project <> b.project")
 def q16_a_distance(spark, sf_dir):
-    df = event_instances(spark, sf_dir)
-    return models.a_distances(df, EVENT_FEATURES)
+    """A domain discriminator for every pair; its distance is from 0 to 2."""
+    d = models.a_distances(event_instances(spark, sf_dir), EVENT_FEATURES)
+    return d.select("target", "source", F.col("adist").between(0, 2).alias("bounded"))
 
 
-@query()
+@query(f"WITH {EVENTS} SELECT DISTINCT project AS target, 3 AS n_sources, TRUE AS falling FROM e")
 def q17_top_sources_with_a_distance(spark, sf_dir):
+    """Three sources a target, by falling score."""
     df = split.stratified_labels(event_instances(spark, sf_dir))
-    return select.select_sources(select.rank_sources(df, EVENT_FEATURES, "labelled", a_distance=models.a_distances(df, EVENT_FEATURES)), 3)
+    found = select.select_sources(select.rank_sources(df, EVENT_FEATURES, "labelled", a_distance=models.a_distances(df, EVENT_FEATURES)), 3)
+    order = F.transform(F.sort_array(F.collect_list(F.struct("rank", "score"))), lambda r: r["score"])
+    return found.groupBy("target").agg(F.count_distinct("source").alias("n_sources"), (order == F.reverse(F.array_sort(order))).alias("falling"))

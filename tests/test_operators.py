@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import align, features, graph, metrics, models, resample, select, split, stats
+from faultline.operators import align, features, graph, metrics, models, resample, select, split, stats, trees
 from faultline.plans import cli, experiment
 from faultline.sources import readers, schema
 
@@ -161,6 +161,70 @@ def test_trials_on_a_separable_fixture(projects):
     assert len(rows) == 2 and all(r["auc"] > 0.8 and len(r["selected_sources"]) == 3 for r in rows)
 
 
+def test_small_and_distributed_trials_agree(projects):
+    """Label split, sources and scores: the models differ, what they are fitted on does not."""
+    small = experiment.evaluate_targets(projects, X, ["ant"], 1).first()
+    large = experiment.run_trial(projects, "ant", X, seed=13, trees=10, rounds=5, folds=2)
+    assert small["selected_sources"] == large["selected_sources"] and abs(small["auc"] - large["auc"]) < 0.15
+    mark = split.stratified_labels(projects.filter("project = 'ant'"), 0.1, 13).orderBy("row_id").select("row_id", "y", "labelled").toPandas()
+    assert (experiment.label_split(mark["row_id"].to_numpy(), mark["y"].to_numpy(), 0.1, 13) == mark["labelled"]).all()
+
+
+def test_predicting_needs_no_labels(projects):
+    train, test = projects.filter("project <> 'ant'"), projects.filter("project = 'ant'")
+    test = test.select("row_id", *[(F.col(c) * 50 + 7).alias(c) for c in X], "y")
+    train = train.select(F.xxhash64("project", "row_id").alias("row_id"), *[(F.col(c) * 50 + 7).alias(c) for c in X], "y")
+    model = models.StackedEnsemble(X, 2, trees=5, rounds=3).fit(train)
+    one, two = ({r["row_id"]: r["score"] for r in model.predict(t).collect()} for t in (test, test.drop("y")))
+    assert one == two and len(set(one.values())) > 10
+
+
+def test_named_projects_draw_sources_and_rows(projects):
+    drawn = split.random_sources(projects, 2, 3).collect()
+    assert len(drawn) == 4 * 2 * 3 and all(r["target"] != r["source"] for r in drawn)
+    rare = projects.filter((F.col("y") == 0) | (F.col("row_id") % 4 == 0))
+    assert {r["project"] for r in resample.smote(rare, X).collect()} <= {"ant", "camel", "jedit", "lucene"}
+    assert len(experiment.leave_one_out_random(projects, X, ["ant"], 2, 2, rounds=5)) == 2
+
+
+def test_neighbours_across_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (90, 2)).astype(float)  # many ties
+    df = spark.createDataFrame([("p", k, *map(float, v)) for k, v in enumerate(x)] + [("q", 1000, 0.0, 0.0)], "project string, row_id long, a double, b double")
+    monkeypatch.setattr(resample, "BLOCK_ROWS", 20)
+    got = {(r["row_id"], r["place"]): r["other"] for r in resample.neighbours(df, ["a", "b"], 4).collect()}
+    for i in range(90):
+        order = sorted((((x[i] - x[j]) ** 2).sum(), j) for j in range(90) if j != i)[:4]
+        assert [got[i, p + 1] for p in range(4)] == [j for _, j in order]
+    assert not any(k == 1000 for k, _ in got)
+
+
+def test_global_blocks_are_contiguous(spark):
+    df = spark.range(1003).select((F.col("id") * 7919 % 100003).alias("row_id")).repartition(5)
+    got = split.global_blocks(df, 5).toPandas().sort_values("row_id")["fold"].tolist()
+    assert got == [0] * 201 + [1] * 201 + [2] * 201 + [3] * 200 + [4] * 200
+
+
+def test_negative_pairs_of_a_large_sparse_graph(spark):
+    nodes = spark.range(400).selectExpr("'p' AS project", "id AS node")
+    links = spark.range(40).selectExpr("'p' AS project", "id AS src", "id + 1 AS dst")
+    got = {(r["a"], r["b"]) for r in graph.negative_pairs(nodes, links).collect()}
+    assert len(got) == 120 and all(a < b and not (a < 40 and b == a + 1) for a, b in got)
+
+
+def test_trees_learn_and_weigh_columns():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 1] + 0.2 * rng.normal(size=400) > 0).astype(int)
+    learn = np.arange(400)[None] < 300
+    code = trees.binned(x)
+    scored, importance = trees.forest(code, y, learn, 30, 1)
+    assert importance.argmax() == 1 and ((scored[0] > 0.5) == y)[300:].mean() > 0.85
+    hidden = np.where(learn[0], y, 0)  # labels of rows that are not learnt from do not matter
+    assert (trees.boosted(code, y, learn, 20, 0.3, 3) == trees.boosted(code, hidden, learn, 20, 0.3, 3)).all()
+    assert ((trees.boosted(code, hidden, learn, 20, 0.3, 3)[0] > 0.5) == y)[300:].mean() > 0.85
+
+
 def test_distributed_trial(projects):
     r = experiment.run_trial(projects, "ant", X, trees=5, rounds=3, folds=2, use_a_distance=False)
     assert r["auc"] > 0.7 and len(r["selected_sources"]) == 3
@@ -223,7 +287,7 @@ def test_training_draws_neighbours_together():
     h = graph.svd_features(adjacent, 8)
     out = graph.train_features(h, links, graph.sage_weights(8, 16), 50, rate=0.1)
     assert out.shape == (6, 8) and np.isfinite(out).all()
-    assert not np.allclose(out, graph.train_features(h, links, graph.sage_weights(8, 16), 50, rate=0.1, sign="as_coded"))
+    assert not np.allclose(out, graph.train_features(h, links, graph.sage_weights(8, 16), 50, rate=0.1, sign="contrastive"))
 
 
 def test_embeddings_fall_back_to_zeros(spark):
