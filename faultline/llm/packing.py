@@ -1,7 +1,7 @@
 """Best-fit packing improved by swap-based local search.
 
-Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt by a
-hash into groups of about ``group_items``; a group is packed best fit, largest
+Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt by their
+place in the written table into groups of about ``group_items``; a group is packed best fit, largest
 first, and then improved: pieces of the emptiest bins are moved, exchanged one
 for one, two for one or one for two into fuller bins.  Every step raises the sum
 of squared fills, so bins empty and the search ends.  Bins that stay underfull
@@ -9,14 +9,15 @@ give their pieces back, and these are dealt into fewer groups for the next
 round, until one group holds what is left.  A round handles a small fraction of
 the rows of the one before; no task ever holds more than a group.
 
-Defined results: a null or empty text is one piece, its end token; equal rows
-are separate pieces; a piece of full length is a sequence of its own; an empty
+Defined results: a null or empty text is one piece, its end token; a null doc_id
+stays null, and other ids stay what they are; equal rows are separate pieces; a piece of full length is a sequence of its own; an empty
 table gives an empty table; extra columns are ignored by ``pieces_of`` and kept
 by ``pack``, whose own columns (``sequence_id``, ``offset``) replace any so named.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -27,8 +28,10 @@ from .common import arrow_schema, give_back, materialize
 END_ID = 2
 CAPACITY = 1024
 GROUP_ITEMS = 8192
-#: A bin with less free space than this is closed as it is.
-CLOSED_SLACK = 16
+#: A bin with less free space than this part of its capacity is closed as it is.
+CLOSED_PART = 64
+#: Rounds over what stays open; the one after closes all.
+MOST_ROUNDS = 8
 
 
 class Bins:
@@ -129,43 +132,52 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows that have a ``length`` from 1 to ``capacity``."""
-    pieces = pieces.drop("sequence_id", "offset")
-    columns = pieces.columns
-    out_type = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("__open", T.BooleanType())])
-    done, level, rest, final = None, 0, pieces, False
+    rest = materialize(pieces.drop("sequence_id", "offset"), "packing-rows")
+    columns = rest.columns
+    open_, group_of = (f"{uuid.uuid4().hex}_{n}" for n in ("open", "group"))  # no column of the rows is named so
+    out_type = T.StructType([*rest.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField(open_, T.BooleanType())])
+    done, level, final = None, 0, False
     count = rest.count()
     while True:
         groups = max(1, -(-count // group_items))
-        grouped = rest.withColumn("__group", F.pmod(F.xxhash64(F.lit(level), *columns), F.lit(groups)))
-        packed = materialize(grouped.groupBy("__group").applyInPandas(_group_packer(columns, capacity, level, final or groups == 1), out_type), "packing")
-        closed = packed.filter(~F.col("__open")).drop("__open")
+        # by place in the written table, not by content: repeated rows spread over all groups
+        # in turn within a partition, from another group on in each, so groups are of a size
+        place, part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.xxhash64(F.lit(level), F.spark_partition_id())
+        grouped = rest.withColumn(group_of, F.pmod(place + F.pmod(part, F.lit(groups)), F.lit(groups)))
+        packer = _group_packer(columns, group_of, arrow_schema(out_type), capacity, level, final or groups == 1)
+        packed = materialize(grouped.groupBy(group_of).applyInArrow(packer, out_type), "packing")
+        closed = packed.filter(~F.col(open_)).drop(open_)
         done = closed if done is None else done.unionByName(closed)
-        rest = packed.filter("__open").select(*columns)
+        rest = packed.filter(open_).select(*columns)
         left = 0 if final or groups == 1 else rest.count()
         if not left:
             return done
         level += 1
         # when a round closes little, what is left does not fit together: the next round closes all
-        final = left > 0.5 * count
+        final = left > 0.9 * count or level >= MOST_ROUNDS
         count = left
 
 
-def _group_packer(columns: list[str], capacity: int, level: int, last: bool):
+def _group_packer(columns: list[str], group_of: str, schema, capacity: int, level: int, last: bool):
     """The function of one round; bins with room stay open unless it is the last round."""
 
     def pack_group(rows):
-        group = int(rows["__group"].iloc[0])
+        import pyarrow as pa
+        import pyarrow.types as kinds
+
+        group = rows[group_of][0].as_py()
+        plain = [c for c in columns if c != "length" and (kinds.is_integer(rows.schema.field(c).type) or kinds.is_string(rows.schema.field(c).type))]
         # a fixed order, so a task that runs again gives the same result
-        rows = rows[columns].sort_values(["length", *[c for c in columns if c != "length"]], ascending=False, kind="stable", ignore_index=True)
-        lengths = rows["length"].astype(int).tolist()
-        number, offset, still = [0] * len(rows), [0] * len(rows), [False] * len(rows)
+        rows = rows.select(columns).sort_by([("length", "descending"), *[(c, "descending") for c in plain]])
+        lengths = rows["length"].to_pylist()
+        number, offset, still = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
         for k, items in enumerate(pack_lengths(lengths, capacity)):
-            is_open = not last and capacity - sum(lengths[i] for i in items) >= CLOSED_SLACK
+            is_open = not last and capacity - sum(lengths[i] for i in items) >= max(1, capacity // CLOSED_PART)
             at = 0
             for i in items:
-                number[i], offset[i], still[i] = level << 56 | group << 20 | k, at, is_open
+                number[i], offset[i], still[i] = level << 56 | group << 24 | k, at, is_open
                 at += lengths[i]
-        return rows.assign(sequence_id=number, offset=offset, __open=still)
+        return pa.table([*rows.columns, pa.array(number, "int64"), pa.array(offset, "int64"), pa.array(still, "bool")], names=schema.names).cast(schema)
 
     return pack_group
 
@@ -207,4 +219,4 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their sequence and place in it."""
-    return pack(materialize(pieces_of(docs, path, capacity), "pieces"), capacity)
+    return pack(pieces_of(docs, path, capacity), capacity)

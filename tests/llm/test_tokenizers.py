@@ -132,3 +132,52 @@ def test_local_search_empties_bins():
     assert bins.improve() == 1
     assert sorted(i for b in bins.items for i in b) == list(range(7)) and max(bins.fill) <= 10
     assert sum(f * f for f in bins.fill) > before
+
+
+def test_ids_stay_what_they_are_beside_null_ones(spark):
+    big = 2**53 + 1  # not a floating-point number
+    df = spark.createDataFrame([(big, "one two"), (None, "three"), (big + 2, "four")], "doc_id long, text string")
+    rows = packing.pack_documents(df, BPE).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in rows) == [(False, big), (False, big + 2), (True, None)]
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    df = spark.range(4000).selectExpr("7L AS doc_id", "0 AS piece", "50L AS length", "'x' AS open").repartition(3)
+    out = packing.pack(df, 100, group_items=200).collect()
+    assert len(out) == 4000 and len({r["sequence_id"] for r in out}) <= 2000 + 20
+    assert len({r["sequence_id"] >> 24 for r in out}) > 10  # groups
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying everything."""
+    best, lengths = [len(lengths)], sorted(lengths, reverse=True)
+
+    def place(k, fills):
+        if len(fills) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(fills)
+            return
+        for i in range(len(fills)):
+            if fills[i] + lengths[k] <= capacity and fills[i] not in fills[:i]:
+                place(k + 1, [*fills[:i], fills[i] + lengths[k], *fills[i + 1 :]])
+        place(k + 1, [*fills, lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_search_against_the_optimum():
+    """On small groups the search never needs more than one bin over the optimum, and mends what best fit leaves."""
+    rng, over, mended = random.Random(5), 0, 0
+    for _ in range(400):
+        lengths = [rng.randint(1, 24) + rng.choice((0, 8)) for _ in range(rng.randint(4, 11))]
+        bins = packing.Bins(lengths, 40)
+        bins.best_fit()
+        first = len(bins.items)
+        mended += bins.improve()
+        packed = [b for b in bins.items if b]
+        assert sorted(i for b in packed for i in b) == list(range(len(lengths))) and max(sum(lengths[i] for i in b) for b in packed) <= 40
+        assert fewest_bins(lengths, 40) <= len(packed) <= min(first, fewest_bins(lengths, 40) + 1)
+        over += len(packed) > fewest_bins(lengths, 40)
+    assert over <= 8 and mended >= 1
