@@ -9,11 +9,12 @@ logistic scorer over hashed byte n-grams and the votes' own measures is fitted t
 these labels.  The scorer rates every whole text.
 
 The scorer is fitted on a sample of bounded size (``SAMPLE_ROWS``), drawn evenly
-from both verdicts by a hash of the id; votes, pattern counts and scores cover
-all rows.
+from both verdicts by a hash of id and text and cut to the bound by rank; votes, pattern
+counts and scores cover all rows.
 
 Defined results: a null text counts as empty; an empty or blank text is rejected
-with score 0; repeated rows get equal results; an empty table gives an empty
+with score 0; a null doc_id stays null and is drawn like any other; repeated rows get
+equal results; a score equal to the limit is kept; an empty table gives an empty
 table; extra columns are ignored.
 """
 
@@ -23,7 +24,7 @@ import re
 from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import arrow_schema, give_back, materialize
 from .hashed_linear import fit_logistic, ngram_counts, normal, sigmoid
@@ -34,6 +35,8 @@ SAMPLE_ROWS = 6000
 KEEP_SCORE = 0.5
 GOOD, BAD, NONE = 2, 1, 0
 SYMBOLS = b"#*$%&|<>"
+DRAWS = 1 << 40
+LABEL, SIDE, SHARE = "sample label", "sample side", "sample share"
 _LINE = re.compile(rb"[^\n]*[^\x20\x09-\x0D\n][^\n]*")
 _STOP = re.compile(rb"[.?!]['\")]*$")
 
@@ -81,9 +84,9 @@ LABELLERS = (
 )
 
 
-def pattern(data: bytes) -> int:
+def pattern(data: bytes, measured: dict[str, float] | None = None) -> int:
     """The votes as one base-3 number."""
-    measured, code = measure(data), 0
+    measured, code = measure(data) if measured is None else measured, 0
     for _, vote in LABELLERS:
         code = code * 3 + vote(measured)
     return code
@@ -122,28 +125,33 @@ class LabelModel:
         return sigmoid(np.log(self.prior / (1 - self.prior)) + gain)
 
 
-def features(data: bytes) -> np.ndarray:
+def features(data: bytes, m: dict[str, float] | None = None) -> np.ndarray:
     """Hashed n-grams, then the measures, each squeezed to 0..1."""
-    m = measure(data)
+    m = measure(data) if m is None else m
     own = np.array([min(m[k] / top, 1.0) for k, top in (("symbols", 1), ("bars", 1), ("shouts", 1), ("capitals", 1), ("digits", 1), ("length", 20), ("unique", 1), ("runs", 1), ("dup_lines", 1), ("stops", 0.2))] + [m["words"] == 0], dtype=np.float32)
     return np.concatenate([normal(ngram_counts(data, DIMS)), own])
 
 
+def _draw():
+    """The number that a row is drawn by: a hash of id and text."""
+    return F.xxhash64("doc_id", "text", F.lit("sample"))
+
+
 def vote_patterns(docs: DataFrame) -> DataFrame:
-    """doc_id, pattern."""
+    """doc_id, draw, pattern."""
     import pyarrow as pa
 
-    ddl = "doc_id long, pattern long"
+    ddl = "doc_id long, draw long, pattern long"
     schema = arrow_schema(ddl)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast("int64"), pa.array([pattern(t or b"") for t in part.column(1).to_pylist()], "int64")], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast("int64"), part.column(1), pa.array([pattern(t or b"") for t in part.column(2).to_pylist()], "int64")], schema=schema)
         give_back()
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, ddl)
+    return docs.select("doc_id", _draw(), F.col("text").cast("binary")).mapInArrow(run, ddl)
 
 
 class Scorer:
@@ -154,15 +162,17 @@ class Scorer:
 
     def score(self, data: bytes) -> tuple[float, float]:
         """(score, posterior of the votes)."""
-        label = float(self.labels.posterior(np.array([pattern(data)]))[0])
-        if not data.split():
+        m = measure(data)
+        label = float(self.labels.posterior(np.array([pattern(data, m)]))[0])
+        if not m["words"]:
             return 0.0, label
-        return (label if self.weight is None else float(sigmoid(features(data) @ self.weight[:, 0] + self.bias[0]))), label
+        return (label if self.weight is None else float(sigmoid(features(data, m) @ self.weight[:, 0] + self.bias[0]))), label
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     voted = materialize(vote_patterns(docs), "votes")
-    found = voted.groupBy("pattern").count().orderBy("pattern").collect()  # one row a pattern
+    place = F.pmod(F.col("draw"), F.lit(DRAWS))
+    found = voted.groupBy("pattern").agg(F.count("*").alias("count"), F.min(place).alias("least")).orderBy("pattern").collect()  # one row a pattern
     codes = np.array([r["pattern"] for r in found], dtype=np.int64)
     counts = np.array([r["count"] for r in found], dtype=np.int64)
     if not len(codes):
@@ -173,35 +183,39 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     sides = [counts[good >= 0.5].sum(), counts[good < 0.5].sum()]
     if min(sides) == 0:
         return Scorer(labels, None, None)
-    rate = {int(c): min(1.0, sample_rows / 2 / sides[0 if g >= 0.5 else 1]) for c, g in zip(codes, good)}
-    label_of = {int(c): float(g) for c, g in zip(codes, good)}
-    schema = arrow_schema("label double, x binary")
+    # as many of either side; a share of each by a hash of id and text, then by rank, so the bound holds whatever repeats
+    each = max(1, sample_rows // 2)
+    # the row with the least draw always comes, so a side of few different rows is not missed
+    least = [min(r["least"] for r, g in zip(found, good) if (g >= 0.5) == side) for side in (True, False)]
+    limit = [max(int(DRAWS * min(1.0, (2 * each + 20) / n)), first + 1) for n, first in zip(sides, least)]
+    shares = docs.sparkSession.createDataFrame([(int(c), float(g), bool(g >= 0.5), limit[0 if g >= 0.5 else 1]) for c, g in zip(codes, good)], f"pattern long, `{LABEL}` double, `{SIDE}` boolean, `{SHARE}` long")
+    small = voted.join(F.broadcast(shares), "pattern").filter(place < F.col(SHARE))
+    small = small.withColumn("rank", F.row_number().over(Window.partitionBy(SIDE).orderBy("draw", "doc_id"))).filter(F.col("rank") <= each)
+    small = materialize(small.select("draw", F.col(LABEL).alias(LABEL)), "votes-sample")
+    picked = small.groupBy("draw").agg(F.count("*").alias("times"), F.max(LABEL).alias(LABEL))
+    ddl = "label double, times long, x binary"
+    schema = arrow_schema(ddl)
 
     def run(batches):
-        import zlib
-
         import pyarrow as pa
 
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                rows = []
-                for doc_id, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    code = pattern(data or b"")
-                    if zlib.crc32(b"sample %d" % (doc_id or 0)) < rate.get(code, 0.0) * 2**32:
-                        rows.append((label_of[code], features(data or b"").tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], "binary")], schema=schema)
-
-    # the sample is drawn by id before texts are read in Python: a row passes by the largest rate of any pattern
-    draw = F.crc32(F.concat(F.lit("sample "), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")).cast("binary"))
-    some = docs.filter(draw < max(rate.values()) * 2**32) if max(rate.values()) < 1 else docs
-    sample = some.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "label double, x binary").toArrow()
-    y = np.array(sample["label"].to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([features(t or b"").tobytes() for t in part.column(2).to_pylist()], "binary")], schema=schema)
+
+    # equal rows share a draw: one of them comes, weighing as many as were picked
+    texts = docs.select(_draw().alias("draw"), F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "draw")
+    texts = texts.groupBy("draw", LABEL, "times").agg(F.first("text").alias("text"))
+    sample = texts.select(LABEL, "times", "text").mapInArrow(run, ddl).toArrow()
+    y, times = np.array(sample["label"].to_pylist()), np.array(sample["times"].to_pylist(), dtype=float)
     if len(y) == 0 or min((y >= 0.5).sum(), (y < 0.5).sum()) == 0:
         return Scorer(labels, None, None)
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), dtype=np.float32).reshape(len(y), -1)
-    share = np.where(y >= 0.5, 1 / (y >= 0.5).sum(), 1 / (y < 0.5).sum())
+    rows = sample["x"].to_pylist()
+    order = sorted(range(len(y)), key=lambda k: (y[k], rows[k]))  # the same sums whatever order the rows came in
+    x = np.frombuffer(b"".join(rows[k] for k in order), dtype=np.float32).reshape(len(y), -1)
+    y, times = y[order], times[order]
+    share = times * np.where(y >= 0.5, 1 / times[y >= 0.5].sum(), 1 / times[y < 0.5].sum())
     return Scorer(labels, *fit_logistic(x, y[:, None].astype(np.float32), share))
 
 

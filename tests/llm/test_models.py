@@ -7,6 +7,7 @@ import pytest
 from conftest import ordered
 from pyspark.sql import functions as F
 
+from faultline.llm.hashed_linear import fit_logistic
 from faultline.llm import language_id, ngram_lm, quality_classifier, quality_rules
 
 
@@ -193,3 +194,55 @@ def test_classifier_on_odd_rows(docs):
     assert not any(rows[i]["kept"] for i in (0, 1, 2))
     left = quality_classifier.drop_low_quality(docs)
     assert left.columns == docs.columns and left.filter("text is null or trim(text) = ''").count() == 0
+
+
+def test_decoding_equals_brute_force(real):
+    model = language_id.train(real, F.lit(True))
+    for r in real.limit(40).collect():
+        if not r["text"] or not any(map(str.isalpha, r["text"])):
+            continue
+        x = language_id.features(r["text"])
+        margins = [sum(float(a) * float(b) for a, b in zip(x, model.w[:, k])) + float(model.b[k]) for k in range(model.w.shape[1])]
+        losses = {}
+        for name, word in zip(model.names, model.code):
+            losses[name] = sum(float(w) * math.log1p(math.exp(-bit * m)) for w, bit, m in zip(model.weight, word, margins)) / float(model.weight.sum())
+        assert model.predict(r["text"])[0] == min(losses, key=lambda n: (round(losses[n], 6), n))
+
+
+def test_samples_hold_their_bounds_whatever_repeats(spark, monkeypatch):
+    texts = {"en": "the river runs past the old mill and the bridge of stone", "de": "der alte Fluss fliesst an der Muehle und der Bruecke vorbei"}
+    rows = [(7, t, lang) for lang, t in texts.items() for _ in range(400)] + [(None, texts["en"] + f" {k}", "en") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "fit_logistic", lambda x, y, *a, **k: seen.append(len(x)) or fit_logistic(x, y, *a, **k))
+    model = language_id.train(df, F.lit(True), sample_rows=100)
+    assert seen == [100] and model.names == ["de", "en"] and model.predict(texts["de"])[0] == "de"
+    bad = "$ # % & * | " * 30
+    rows = [(1, bad)] * 300 + [(1, " ".join(texts.values()) + ". ")] * 300 + [(k, f"{texts['en']} {k}. It was so.") for k in range(100)]
+    seen.clear()
+    monkeypatch.setattr(quality_classifier, "fit_logistic", lambda x, y, w, **k: seen.append((len(x), float(w.sum()))) or fit_logistic(x, y, w, **k))
+    scorer = quality_classifier.train(spark.createDataFrame(rows, "doc_id long, text string"), sample_rows=60)
+    assert seen[0][0] <= 60 and abs(seen[0][1] - 2) < 1e-9
+    assert scorer.score(bad.encode())[0] < 0.5 < scorer.score(texts["en"].encode())[0]
+
+
+def test_expectation_maximisation_equals_a_plain_one(real):
+    """The fit on pattern counts is the one on documents, written out."""
+    codes = [quality_classifier.pattern((r["text"] or "").encode()) for r in real.collect()]
+    votes = quality_classifier.votes_of(np.array(codes)).tolist()
+    unique, counts = np.unique(codes, return_counts=True)
+    model = quality_classifier.LabelModel(unique, counts, rounds=4)
+    good = [0.1 if 1 in v else 0.95 for v in votes]
+    for _ in range(4):
+        prior = min(max(sum(good) / len(good), 0.02), 0.98)
+        odds = []
+        for j in range(len(votes[0])):
+            chance = [[(sum(w for w, v in zip(weights, votes) if v[j] == x) + 0.5) / (sum(weights) + 1.5) for x in range(3)] for weights in (good, [1 - g for g in good])]
+            o = [math.log(chance[0][x]) - math.log(chance[1][x]) for x in range(3)]
+            o[2], o[1] = max(o[2], 0), min(o[1], 0)
+            odds.append([min(max(x, -8), 8) for x in o])
+        for i, v in enumerate(votes):
+            gain = sum(odds[j][x] for j, x in enumerate(v))
+            gain = gain if 1 in v else max(gain, 0)
+            good[i] = 1 / (1 + math.exp(-min(max(math.log(prior / (1 - prior)) + gain, -40), 40)))
+    assert np.allclose(model.posterior(np.array(codes)), good, atol=1e-9)
