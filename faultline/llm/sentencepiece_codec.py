@@ -13,8 +13,10 @@ unknown character, for one), so the parts between are encoded by themselves and
 kept in bounded caches.  Runs of several space marks have equal
 merge scores, where order and not adjacency decides: they are merged outright.
 
-Defined results: a null or empty text is the end id alone and decodes to "";
-unknown characters become byte tokens; extra columns are ignored.
+Defined results: a null or empty text is the end id alone and decodes to ""; a null
+doc_id stays null; unknown characters become byte tokens; repeated rows get equal rows;
+an empty table gives an empty table; texts are encoded whole, however long; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,8 +18,10 @@ Documents with equal fingerprints are one node, so copies never multiply; a node
 has at most 64 + 2016 others within two bits, whatever the number of documents.
 
 Defined results: a null, empty or blank text has fingerprint 0, linked like any
-other; repeated rows share a fingerprint; texts are read whole, in blocks; an
-empty table gives an empty table; extra columns are ignored.
+other; repeated rows share a fingerprint; a null doc_id has its text's fingerprint and
+component, which is null only if no member has an id, and is never the one that a group
+keeps; texts are read whole, in blocks; an empty table gives an empty table; extra columns
+are ignored, and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations

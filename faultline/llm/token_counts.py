@@ -1,8 +1,9 @@
 """Token counts by prefix dynamic programming (see ``bpe``).
 
 Defined results: a null or empty text has 0 tokens and 0 bytes; special strings
-inside texts count as the library takes them (one token); equal rows get equal
-rows; extra columns are ignored; texts are never cut.
+inside texts count as the library takes them (one token); a null doc_id stays null;
+equal rows get equal rows; an empty table gives an empty table; extra columns are
+ignored; texts are never cut.
 """
 
 from __future__ import annotations

@@ -36,7 +36,22 @@ def test_stages(spark, sf):
 def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path):
     for k, table in enumerate((docs, empty)):
         table.write.parquet(str(tmp_path / str(k) / "documents.parquet"))
-        assert corpus_pipeline.run(spark, str(tmp_path / str(k))).count() >= 0
+    rows = corpus_pipeline.run(spark, str(tmp_path / "0")).collect()
+    assert corpus_pipeline.run(spark, str(tmp_path / "1")).count() == 0
+    got = {r["doc_id"] for r in rows}
+    text = {r["doc_id"]: r["text"] for r in docs.filter("doc_id is not null").collect()}
+    assert not got & {i for i, t in text.items() if not (t or "").split()}  # no words: rejected
+    copies = [i for i, t in text.items() if t and t.lower() == text[7].lower()]
+    assert len(copies) > 2 and len(got & set(copies)) <= 1  # of equal texts one at most
+    assert {10, 11} <= got and 13 in got  # clean documents and the first of two long near copies stay
+    assert all(1 <= r["length"] <= 1024 and 0 <= r["offset"] <= 1024 - r["length"] for r in rows)
+
+
+def test_columns_named_like_helpers_survive(spark, docs, sf):
+    clash = docs.selectExpr("*", "1 AS __digest", "2 AS __null", "3 AS __gone", "4 AS draw", "5 AS cell")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, sf)
+        assert out.columns == clash.columns and out.count() > 0
 
 
 def test_every_operator_has_its_query():
