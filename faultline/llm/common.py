@@ -43,9 +43,19 @@ def workspace(spark: SparkSession, label: str, table_name: str | None = None) ->
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes all stage tables of this session.  Results read them lazily: call it once these are written."""
-    paths = _made.pop(spark.sparkContext.applicationId, [])
+def made(spark: SparkSession) -> int:
+    """How many stage tables this session has; a mark for ``release``."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, but_last: int = 0) -> int:
+    """Deletes the stage tables of this session from a mark on, but the last few.
+
+    Results read them lazily: call it once these are written.
+    """
+    mine = _made.get(spark.sparkContext.applicationId, [])
+    paths = mine[since : len(mine) - but_last]
+    del mine[since : len(mine) - but_last]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path, table_name in paths:
         if table_name:
