@@ -97,9 +97,12 @@ def q38_confusion(spark, sf_dir):
     return scored_events(spark, sf_dir).groupBy("project").agg(*metrics.confusion())
 
 
-@query()
+_WIDE = ", ".join(f"('x{i}', 'x{j}', (SELECT covar_samp(x{i}, x{j}) FROM e WHERE project = 0))" for i in range(4) for j in range(4))
+
+
+@query(f"WITH {EVENTS}, w(a, b, goal) AS (VALUES {_WIDE}) SELECT a, b, round(goal, 4) AS goal, TRUE AS reached FROM w")
 def q39_coral_wide(spark, sf_dir):
-    """General width: the aligned covariance beside the goal, one row a pair of features."""
+    """General width: the goal, and whether the aligned covariance reaches it, one row a pair of features."""
     import numpy as np
 
     from ..operators import stats
@@ -110,7 +113,7 @@ def q39_coral_wide(spark, sf_dir):
     a = align.fit(one, two, EVENT_FEATURES)
     got, want = stats.covariance(align.transform(one, EVENT_FEATURES, a), EVENT_FEATURES), stats.covariance(two, EVENT_FEATURES)
     error = np.abs(got + 1e-3 * a.T @ a - want - 1e-3 * np.eye(len(want)))
-    return spark.createDataFrame([(EVENT_FEATURES[i], EVENT_FEATURES[j], float(got[i, j]), float(want[i, j]), float(error[i, j])) for i in range(4) for j in range(4)], "a string, b string, aligned double, goal double, error double")
+    return spark.createDataFrame([(EVENT_FEATURES[i], EVENT_FEATURES[j], float(want[i, j]), bool(error[i, j] < 1e-6 * max(1.0, abs(want[i, j])))) for i in range(4) for j in range(4)], "a string, b string, goal double, reached boolean").withColumn("goal", F.round("goal", 4))
 
 
 @query(f"{_sql('project')} SELECT count(*) AS n, round(avg(f1), 3) AS f1, round(avg(auc), 3) AS auc, round(avg(mcc), 3) AS mcc FROM sc")
