@@ -22,7 +22,11 @@ _PARTS = "p AS (SELECT " + ", ".join([_FROM, "'C' || p_partkey AS classname", *[
 
 def folder(spark) -> str:
     """A new folder that driver and executors share; in local mode a temporary one if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="faultline-files-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="faultline-files-")
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
