@@ -38,9 +38,11 @@ def trial_seed(trial: Column) -> Column:
 
 
 def draws(keys, seed: int = 42):
-    """The same integers of a numpy array."""
-    once = ((keys % MODULUS) * FACTOR + STEP + seed) % MODULUS
-    return (once * FACTOR + STEP) % MODULUS
+    """The same integers of a numpy array; remainders keep the key's sign, as in SQL."""
+    from numpy import fmod
+
+    once = fmod(fmod(keys, MODULUS) * FACTOR + STEP + seed, MODULUS)
+    return fmod(once * FACTOR + STEP, MODULUS)
 
 
 def sql_draw(key: str, seed: int | str = 42) -> str:

@@ -170,6 +170,14 @@ def test_small_and_distributed_trials_agree(projects):
     assert (experiment.label_split(mark["row_id"].to_numpy(), mark["y"].to_numpy(), 0.1, 13) == mark["labelled"]).all()
 
 
+def test_draws_are_the_same_in_numpy(spark):
+    from faultline.functions.prng import draw, draws
+
+    ids = np.array([0, 5, -7, 2**62 + 11, -(2**62) - 3])
+    df = spark.createDataFrame([(int(i),) for i in ids], "i long")
+    assert {r["i"]: r["d"] for r in df.select("i", draw(F.col("i"), 13).alias("d")).collect()} == dict(zip(ids.tolist(), draws(ids, 13).tolist()))
+
+
 def test_predicting_needs_no_labels(projects):
     train, test = projects.filter("project <> 'ant'"), projects.filter("project = 'ant'")
     test = test.select("row_id", *[(F.col(c) * 50 + 7).alias(c) for c in X], "y")
