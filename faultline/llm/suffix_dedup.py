@@ -48,11 +48,11 @@ HOT_DOCS = 5_000
 LAST_ID = (1 << 63) - 1
 BLOCK = 1 << 21
 #: Bytes around anchors that are refined at once; one bucket may exceed it.
-REFINE_BYTES = 1 << 20
+REFINE_BYTES = 1 << 19
 #: Members of buckets that are refined at once; later blocks of a pass build on them.
 BLOCK_MEMBERS = 1 << 16
 #: Surroundings that a task holds as Python objects at once; one bucket may exceed it.
-OWNER_ROWS = 40_000
+OWNER_ROWS = 20_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -333,20 +333,28 @@ def _surroundings(texts: DataFrame, copies: DataFrame, shared: DataFrame) -> Dat
             first = seen.setdefault((left, body), ids[d])
             if first == ids[d]:
                 out.append((k, ids[d], tags[d], start - base, left, body))
-            else:  # a smaller document of this group has the same bytes
-                settled.setdefault(d, []).append((start - base, start - base + len(body)))
+                return
+            # a smaller document of this group has the same bytes; anchors come in order, so runs grow at their end
+            runs = settled.setdefault(d, [])
+            if runs and runs[-1][0] <= start - base <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], start - base + len(body))
+            else:
+                runs.append([start - base, start - base + len(body)])
 
         bases = ends - np.array([len(t) for t in texts_], dtype=np.int64) if len(ends) else ends
+        after = 0  # windows of a hot gram before this place have been sent for the gram before
         for p, g, h, d, base, end in zip(place.tolist(), gram.tolist(), hot.tolist(), doc.tolist(), bases[doc].tolist(), ends[doc].tolist()):
             start, stop = max(base, p - (LENGTH - GRAM)), min(end, p + LENGTH)
             if not h:
                 send(g, d, base, start, p - start, whole[start:stop])
                 continue
-            for s in range(start, stop - LENGTH + 1):
+            for s in range(max(start, after), stop - LENGTH + 1):
                 window = whole[s : s + LENGTH]
                 send(xxhash.xxh64_intdigest(window) - (1 << 63), d, base, s, -1, window)
-        for d, spans in settled.items():
-            out += [(hash((ids[d], a)), ids[d], tags[d], a, b - a, None) for a, b in _merged(spans)]
+            after = max(after, stop - LENGTH + 1)
+        del seen
+        for d, runs in settled.items():
+            out += [(hash((ids[d], a)), ids[d], tags[d], a, b - a, None) for a, b in _merged(runs)]
         columns = list(zip(*out)) or [[] for _ in schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
