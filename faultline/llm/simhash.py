@@ -46,6 +46,8 @@ BLOCK, PARITY, RADIUS = 23, 11, 3
 GENERATOR = 0b110001110101
 TEXT_BLOCK = 1 << 20
 BROADCAST_IDS = 1_000_000
+#: Two ends of each group that is compared anew, about 60 bytes each.
+BROADCAST_ENDS = 200_000
 
 
 def word_blocks(data: bytes, size: int = TEXT_BLOCK):
@@ -325,7 +327,9 @@ def _second_look(members: DataFrame, close: DataFrame, passed: DataFrame, sets:
     dealt = materialize(open_.join(sets, "id").select("cell", "id", "root", minima), "word-minima")
     drawn = F.struct(F.xxhash64("id", "draw", "least"), "id", "root")
     ends = dealt.groupBy("cell", "draw", "least").agg(F.min(drawn).alias("one"), F.max(drawn).alias("two"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    ends = ends.select("cell", "draw", "least", F.explode(F.array("one", "two")).alias("end"))
+    ends = materialize(ends.select("cell", "draw", "least", F.explode(F.array("one", "two")).alias("end")), "word-ends")
+    if ends.count() <= BROADCAST_ENDS:  # no shuffle by cell then, so a large group is not one task
+        ends = F.broadcast(ends)
     pairs = dealt.join(ends, ["cell", "draw", "least"]).filter("end.root <> root")
     return pairs.select(F.least("end.id", "id").alias("a"), F.greatest("end.id", "id").alias("b")).distinct()
 
