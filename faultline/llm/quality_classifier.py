@@ -193,7 +193,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     small = small.withColumn("rank", F.row_number().over(Window.partitionBy(SIDE).orderBy("draw", "doc_id"))).filter(F.col("rank") <= each)
     small = materialize(small.select("draw", F.col(LABEL).alias(LABEL)), "votes-sample")
     picked = small.groupBy("draw").agg(F.count("*").alias("times"), F.max(LABEL).alias(LABEL))
-    ddl = "label double, times long, x binary"
+    ddl = "draw long, label double, times long, x binary"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -202,21 +202,27 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([features(t or b"").tobytes() for t in part.column(2).to_pylist()], "binary")], schema=schema)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([features(t or b"").tobytes() for t in part.column(3).to_pylist()], "binary")], schema=schema)
 
     # equal rows share a draw: one of them comes, weighing as many as were picked
     texts = docs.select(_draw().alias("draw"), F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "draw")
     texts = texts.groupBy("draw", LABEL, "times").agg(F.first("text").alias("text"))
-    sample = texts.select(LABEL, "times", "text").mapInArrow(run, ddl).toArrow()
-    y, times = np.array(sample["label"].to_pylist()), np.array(sample["times"].to_pylist(), dtype=float)
+    sample = texts.select("draw", LABEL, "times", "text").mapInArrow(run, ddl).toArrow().sort_by([("label", "ascending"), ("draw", "ascending")])  # the same sums whatever order rows came in
+    y, times = sample["label"].to_numpy(), sample["times"].to_numpy().astype(float)
     if len(y) == 0 or min((y >= 0.5).sum(), (y < 0.5).sum()) == 0:
         return Scorer(labels, None, None)
-    rows = sample["x"].to_pylist()
-    order = sorted(range(len(y)), key=lambda k: (y[k], rows[k]))  # the same sums whatever order the rows came in
-    x = np.frombuffer(b"".join(rows[k] for k in order), dtype=np.float32).reshape(len(y), -1)
-    y, times = y[order], times[order]
+    x = np.empty((len(y), DIMS + len(LABELLERS)), dtype=np.float32)
+    at = 0
+    for chunk in sample["x"].chunks:  # straight from Arrow's buffers: the driver holds the sample twice at most
+        for row in chunk:
+            x[at] = np.frombuffer(row.as_buffer(), dtype=np.float32)
+            at += 1
+    del sample, chunk, row
     share = times * np.where(y >= 0.5, 1 / times[y >= 0.5].sum(), 1 / times[y < 0.5].sum())
-    return Scorer(labels, *fit_logistic(x, y[:, None].astype(np.float32), share))
+    scorer = Scorer(labels, *fit_logistic(x, y[:, None].astype(np.float32), share))
+    del x
+    give_back()
+    return scorer
 
 
 def score_quality(docs: DataFrame, scorer: Scorer, keep_score: float = KEEP_SCORE) -> DataFrame:
