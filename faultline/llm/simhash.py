@@ -201,7 +201,8 @@ def close_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     copies = nodes.mapInArrow(deal(threshold), ddl).withColumnRenamed("print", "b")
     # an unordered pair meets at the home of its smaller print, so it comes out once
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(copies, (home["table"] == copies["table"]) & (home["anchor"] == copies["anchor"]) & near).select(home["table"], "a", "b")
+    # the planner takes the copies for as small as the nodes' files, and would send all of them through the driver
+    return home.join(copies.hint("merge"), (home["table"] == copies["table"]) & (home["anchor"] == copies["anchor"]) & near).select(home["table"], "a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:

@@ -87,6 +87,12 @@ def test_close_pairs_equal_all_pairs(spark):
     assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
 
 
+def test_copies_at_anchors_are_not_broadcast(spark):
+    nodes = simhash.materialize(spark.range(1000).selectExpr("0 AS table", "xxhash64(id) AS print"), "nodes")
+    plan = simhash.close_pairs(nodes)._jdf.queryExecution().executedPlan().toString()  # under the session's usual limit of 10 MB
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_similar_documents(spark, docs, empty):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
