@@ -67,3 +67,13 @@ def test_stage_tables_are_released(spark, sf, tmp_path):
     df = materialize(spark.range(5), "released")
     path = df.inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path) and release(spark) >= 1 and not os.path.exists(path)
+
+
+def test_similar_documents_send_no_copies_through_the_driver(spark, docs, monkeypatch):
+    import corpus_pipeline
+    from faultline.llm import simhash
+
+    plans, made = [], simhash.close_pairs
+    monkeypatch.setattr(simhash, "close_pairs", lambda *a: plans.append(made(*a)) or plans[-1])
+    dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").count()
+    assert len(plans) == 2 and all("Broadcast" not in p._jdf.queryExecution().executedPlan().toString() for p in plans)
