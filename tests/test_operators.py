@@ -233,6 +233,37 @@ def test_trees_learn_and_weigh_columns():
     assert ((trees.boosted(code, hidden, learn, 20, 0.3, 3)[0] > 0.5) == y)[300:].mean() > 0.85
 
 
+def test_neighbours_of_many_rows_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(5000, 4)).round(1)  # with ties
+    tracemalloc.start()
+    near = experiment.small_smote(x, np.r_[np.zeros(4000, int), np.ones(1000, int)], 3), experiment.small_neighbours(x, 5)
+    assert tracemalloc.get_traced_memory()[1] < 200e6  # all distances at once are 800 MB
+    tracemalloc.stop()
+    d = ((x[:800, None] - x[None]) ** 2).sum(2)
+    d[np.arange(800), np.arange(800)] = np.inf
+    assert (near[1][:800] == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+    monkeypatch.setattr(experiment, "NEAR_CELLS", 1)
+    assert (experiment.small_neighbours(x[:60], 5) == np.argsort(np.where(np.eye(60) > 0, np.inf, ((x[:60, None] - x[None, :60]) ** 2).sum(2)), axis=1, kind="stable")[:, :5]).all()
+
+
+def test_rows_with_equal_bins_are_one_cell():
+    rng = np.random.default_rng(2)
+    x, n = rng.normal(size=(300, 3)).round(1), rng.integers(1, 5, 300)
+    pos = rng.binomial(n, np.where(x[:, 0] > 0, 0.8, 0.3))
+    y = np.concatenate([np.r_[np.ones(p, int), np.zeros(k - p, int)] for p, k in zip(pos, n)])
+    first, learn = np.r_[0, np.cumsum(n)[:-1]], np.arange(300) < 200
+    code = trees.binned(np.repeat(x, n, axis=0))
+    assert (trees.binned(x, n=n) == code[first]).all()
+    whole = trees.boosted(code, y, np.repeat(learn, n)[None], 20, 0.3, 4)[0][first]
+    assert np.allclose(trees.boosted(code[first], pos, learn[None], 20, 0.3, 4, n)[0], whole)
+    distinct, of = trees.cells(code)
+    assert (distinct[of] == code).all() and len(np.unique(distinct, axis=0)) == len(distinct)
+    wide = np.tile(code, (1, 5))  # too wide for one number
+    assert (trees.cells(wide)[0][trees.cells(wide)[1]] == wide).all() and len(trees.cells(wide)[0]) == len(distinct)
+
+
 def test_distributed_trial(projects):
     r = experiment.run_trial(projects, "ant", X, trees=5, rounds=3, folds=2, use_a_distance=False)
     assert r["auc"] > 0.7 and len(r["selected_sources"]) == 3
