@@ -54,6 +54,8 @@ NGRAM_MIN = 2
 DISCOUNT = 0.75
 #: Tokens that are looked up at once, and tokens of a row of the encoded corpus (a longer text is a row of its own).
 BLOCK_TOKENS, ROW_TOKENS = 1_000_000, 65_536
+#: Tokens of a block of texts whose words are looked up at once.
+LOOKUP_TOKENS = 400_000
 #: Distinct n-grams that a counting task merges before it sends them on.
 RUN_NGRAMS = 3_000_000
 #: Tokens for each range of a level's keys, and the most ranges of a level.
@@ -156,15 +158,13 @@ class EliasFano:
         low = v & np.uint64((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(v), dtype=np.uint64)
         open_ = np.flatnonzero(first < last)
         while len(open_):  # binary search among the elements with the same high bits
-            middle = (first[open_] + last[open_]) // 2
+            inside, first, last, low = inside.take(open_), first.take(open_), last.take(open_), low.take(open_)
+            middle = (first + last) >> 1
             found = self._low(middle)
-            less, same = found < low[open_], found == low[open_]
-            out[inside[open_[same]]] = middle[same]
-            first[open_[less]] = middle[less] + 1
-            more = ~less & ~same
-            last[open_[more]] = middle[more]
-            open_ = open_[~same]
-            open_ = open_[first[open_] < last[open_]]
+            less, same = found < low, found == low
+            out[inside[same]] = middle[same]
+            first, last = np.where(less, middle + 1, first), np.where(less, last, middle)
+            open_ = np.flatnonzero((first < last) & ~same)
         return out
 
 
@@ -227,6 +227,7 @@ def _mapped(path: str) -> tuple[dict, np.ndarray]:
         data = _private_copy(system, where)
     else:
         data = np.memmap(where, dtype=np.uint8, mode="r")
+    data = data.view(np.ndarray)  # slices of a memmap are slow to make
     size = int.from_bytes(data[:8].tobytes(), "little")
     return json.loads(data[8 : 8 + size].tobytes()), data[8 + size :]
 
@@ -241,6 +242,22 @@ class Shard:
         return EliasFano(m["count"], int(m["base"]), m["low_bits"], a[f"{name}.lows"], a[f"{name}.highs"], a[f"{name}.zeros"])
 
 
+_shard = lru_cache(maxsize=4096)(Shard)
+
+
+class _Known(dict):
+    """Word numbers by word; a new word gets the next number below -1 until it is looked up."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = -1 - len(self.new)
+        return -1 - len(self.new)
+
+
 class Level:
     """All shards of a level.  ``shards``: (first key, path, nodes, first node number, sum of counts) in order of key."""
 
@@ -259,7 +276,7 @@ class Level:
         edges = np.searchsorted(nodes, [*self.numbers, self.nodes])
         for k in np.flatnonzero(np.diff(edges)):
             own = slice(edges[k], edges[k + 1])
-            out[own] = Shard(self.shards[k][1]).arrays[name][nodes[own] - self.numbers[k]]
+            out[own] = _shard(self.shards[k][1]).arrays[name][nodes[own] - self.numbers[k]]
         return out
 
     def _spread(self, keys: np.ndarray, look) -> np.ndarray:
@@ -268,7 +285,7 @@ class Level:
         edges = np.r_[0, np.searchsorted(keys, self.firsts[1:]), len(keys)] if self.shards else np.zeros(1, int)
         for k in np.flatnonzero(np.diff(edges)):
             own = slice(edges[k], edges[k + 1])
-            found = look(Shard(self.shards[k][1]), own)
+            found = look(_shard(self.shards[k][1]), own)
             out[own] = np.where(found >= 0, found + self.numbers[k], -1)
         return out
 
@@ -315,21 +332,23 @@ class Trie:
     def log10_unknown(self) -> float:
         return float(np.log10(max(self.discount * self.words, 1) / max(self.tokens, 1))) if self.words else 0.0
 
-    def number(self, words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-        """Word number or -1 of every token; ``known`` keeps what was looked up, up to KNOWN_WORDS."""
+    def number(self, words: list[bytes], known: _Known) -> np.ndarray:
+        """Word number or -1 of every token; ``known`` keeps what was looked up, up to KNOWN_WORDS and a block's words."""
         import xxhash
 
-        new = list({*words} - known.keys())
-        if new:
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-                new = list({*words})
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), dtype=np.uint64, count=len(new))
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        out = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        if known.new:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, known.new), dtype=np.uint64, count=len(known.new))
             order = np.argsort(hashes)
-            found = np.full(len(new), -1, dtype=np.int64)
+            found = np.empty(len(hashes), dtype=np.int64)
             found[order] = self.levels[0].find_words(hashes[order])
-            known.update(zip(new, found.tolist()))
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+            known.update(zip(known.new, found.tolist()))
+            known.new = []
+            late = np.flatnonzero(out < -1)
+            out[late] = found[-2 - out[late]]
+        return out
 
     def counts(self, word: np.ndarray) -> np.ndarray:
         """Training count of every word number (0 for -1)."""
@@ -488,11 +507,23 @@ def encode(docs: DataFrame, trie: Trie, learned: Column) -> DataFrame:
     wide = np.int32 if trie.words < 2**31 else np.int64
 
     def run(batches):
-        known: dict[bytes, int] = {}
-        for batch, first, words, sizes in token_blocks(batches, 2, ROW_TOKENS):
-            own = [batch.column(k).slice(first, len(sizes)).to_pylist() for k in (0, 1)]
-            numbers = _packed(trie.number(words, known).astype(wide))
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip([*own, sizes, numbers], schema)], schema=schema)
+        known, waiting, words = _Known(), [], []
+
+        def flush():
+            at, number = 0, trie.number(words, known).astype(wide)
+            for ids, learned, sizes, count in waiting:
+                row = [ids, learned, sizes, _packed(number[at : at + count])]
+                at += count
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, schema)], schema=schema)
+
+        for batch, first, own, sizes in token_blocks(batches, 2, ROW_TOKENS):
+            waiting.append((*(batch.column(k).slice(first, len(sizes)).to_pylist() for k in (0, 1)), sizes, len(own)))
+            words += own
+            if len(words) >= LOOKUP_TOKENS:  # a look-up in each shard for several rows at once
+                yield from flush()
+                waiting, words = [], []
+        if waiting:
+            yield from flush()
         give_back()
 
     texts = docs.select(F.col("doc_id").cast("long"), learned.alias("learned"), F.col("text").cast("binary"))

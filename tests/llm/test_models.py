@@ -89,6 +89,26 @@ def brute_scores(rows, order):
     return out
 
 
+def test_new_words_are_looked_up_once_a_block(monkeypatch):
+    import xxhash
+
+    words = [f"w{k}".encode() for k in range(9)]
+    place = {h: k for k, h in enumerate(sorted(xxhash.xxh64_intdigest(w) for w in words))}
+    asked = []
+
+    class Words:
+        def find_words(self, hashes):
+            asked.append(len(hashes))
+            return np.array([place.get(int(h), -1) for h in hashes])
+
+    monkeypatch.setattr(ngram_lm, "KNOWN_WORDS", 4)
+    trie, known = ngram_lm.Trie([Words()], 1, 9, 0.5), ngram_lm._Known()
+    want = lambda block: [place.get(xxhash.xxh64_intdigest(w), -1) for w in block]
+    for block in ([*words[:3], b"no", *words[:3], b"no"], words[1:4], words[3:9], [], [words[0], b"no"]):
+        assert trie.number(block, known).tolist() == want(block)
+    assert asked == [4, 1, 6, 2]  # forgotten once there are more than may be kept
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_scores_equal_brute_force(real, empty, order):
     want = brute_scores([(r["doc_id"], r["text"]) for r in real.collect()], order)
