@@ -55,7 +55,7 @@ DISCOUNT = 0.75
 #: Tokens that are looked up at once, and tokens of a row of the encoded corpus (a longer text is a row of its own).
 BLOCK_TOKENS, ROW_TOKENS = 1_000_000, 65_536
 #: Tokens of a block of texts whose words are looked up at once.
-LOOKUP_TOKENS = 400_000
+LOOKUP_TOKENS = 200_000
 #: Distinct n-grams that a counting task merges before it sends them on.
 RUN_NGRAMS = 3_000_000
 #: Tokens for each range of a level's keys, and the most ranges of a level.
@@ -333,11 +333,9 @@ class Trie:
         return float(np.log10(max(self.discount * self.words, 1) / max(self.tokens, 1))) if self.words else 0.0
 
     def number(self, words: list[bytes], known: _Known) -> np.ndarray:
-        """Word number or -1 of every token; ``known`` keeps what was looked up, up to KNOWN_WORDS and a block's words."""
+        """Word number or -1 of every token; ``known`` keeps what was looked up, up to KNOWN_WORDS."""
         import xxhash
 
-        if len(known) > KNOWN_WORDS:
-            known.clear()
         out = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
         if known.new:
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, known.new), dtype=np.uint64, count=len(known.new))
@@ -348,6 +346,8 @@ class Trie:
             known.new = []
             late = np.flatnonzero(out < -1)
             out[late] = found[-2 - out[late]]
+            if len(known) > KNOWN_WORDS:
+                known.clear()
         return out
 
     def counts(self, word: np.ndarray) -> np.ndarray:
